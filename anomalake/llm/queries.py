@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anomalake.llm import bpe
+from anomalake.llm import bpe, langid, toxicity
 from anomalake.llm.store import read_documents
 
 #: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
@@ -17,5 +18,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 4, 2)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out("doc_id", 5, 0)))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
 ORACLE: dict[str, str] = {}
