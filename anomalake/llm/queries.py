@@ -7,17 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalake.llm import bpe, langid, toxicity
-from anomalake.llm.store import read_documents
+from anomalake.llm import bpe, html, langid, media, toxicity, warc
+from anomalake.llm.store import Workspace, read_documents
 
 #: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = media.write(read_documents(spark, sf_dir), Workspace(spark, "media"))
+    got = media.read(spark, manifest)
+    sound = F.when(F.col("error").isNull(), F.col("payload")).otherwise(F.raise_error(F.concat_ws(": ", "archive", "error")).cast("binary"))
+    return got.withColumn("payload", sound).select(
+        F.nullif("key", F.lit("")).cast("long").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_documents(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(read_documents(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+    kind = F.when(F.col("kind") == "record", F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", "begin", "reason")))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 4, 2)))
@@ -31,5 +58,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
 ORACLE: dict[str, str] = {}

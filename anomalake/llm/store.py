@@ -39,11 +39,14 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns what was written: the lineage ends here."""
+    def save(self, df: DataFrame, name: str) -> str:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and returns what was written: the lineage ends here."""
+        return self.spark.read.schema(df.schema).parquet(self.save(df, name))
 
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
