@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalake.llm import bpe, html, langid, media, toxicity, warc
+from anomalake.llm import bpe, html, langid, media, pii, toxicity, warc
 from anomalake.llm.store import Workspace, read_documents
 
 #: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
@@ -45,6 +45,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read_documents(spark, sf_dir).select("doc_id", "text"), pii.fit(spark))
+
+    def of(k: int):
+        return lambda x: x["kind"] == k
+
+    count = [F.size(F.filter("pii.base", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    return found.select("doc_id", *count, F.sha2(pii.listed(F.col("pii.base")), 256).alias("base_sha256"), pii.listed(F.col("pii.spans")).alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 4, 2)))
@@ -58,5 +68,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
 ORACLE: dict[str, str] = {}
