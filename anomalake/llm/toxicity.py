@@ -50,6 +50,7 @@ class Trie:
         long = [e for e in self.terms if len(e) >= FUZZY_FROM]
         # one edit leaves the first two or the last two characters of a term as they are
         self.heads, self.tails = {e[:2] for e in long}, {e[-2:] for e in long}
+        self.shortest, self.longest = min(map(len, long), default=0), max(map(len, long), default=-2)
 
     def exact(self, word: str) -> tuple[str, str, int] | None:
         node, stem = self.root, None
@@ -63,36 +64,40 @@ class Trie:
             return ("term", node[""]["term"], 0)
         return stem and ("stem", stem, 0)
 
-    def fuzzy(self, word: str, most: int = 1) -> tuple[str, str, int] | None:
-        """The nearest term within ``most`` edits, by a walk over trie nodes and automaton states at once."""
-        if len(word) < FUZZY_FROM - 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
+    def fuzzy(self, word: str) -> tuple[str, str, int] | None:
+        """The smallest term one edit off, by walking the trie and the states of the word's Levenshtein automaton at once.
+
+        A state is (characters read, edits made). Before the edit the only trie path is the word itself; from each
+        state on it the automaton may drop, replace or insert a character, and after that nothing but the word's
+        rest leads on, so the walk visits few nodes whatever the lexicon's size.
+        """
+        n = len(word)
+        if not self.shortest - 1 <= n <= self.longest + 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
             return None
-        best = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            end = node.get("")
-            if end and "term" in end and len(end["term"]) >= FUZZY_FROM and row[-1] <= most and (best is None or (row[-1], end["term"]) < (best[2], best[1])):
-                best = ("fuzzy" if row[-1] else "term", end["term"], row[-1])
+        best, node = None, self.root
+        for i in range(n + 1):
+            ways = [(node, i + 1)] if i < n else []
             for ch, child in node.items():
                 if ch:
-                    state = automaton_step(word, row, ch, most)
-                    if state is not None:
-                        stack.append((child, state))
-        return best
+                    ways.append((child, i))
+                    if i < n and ch != word[i]:
+                        ways.append((child, i + 1))
+            for at, k in ways:
+                while k < n and at:
+                    at = at.get(word[k])
+                    k += 1
+                end = at and at.get("")
+                if end and "term" in end and len(end["term"]) >= FUZZY_FROM and end["term"] != word and (best is None or end["term"] < best):
+                    best = end["term"]
+            node = node.get(word[i]) if i < n else None
+            if node is None:
+                break
+        return best and ("fuzzy", best, 1)
 
     def match(self, word: str) -> tuple[str, str, int] | None:
         return self.exact(word) or self.fuzzy(word)
 
 
-def automaton_step(word: str, row: tuple[int, ...], ch: str, most: int) -> tuple[int, ...] | None:
-    """The Levenshtein automaton's next state: the row of edit distances, cut off above ``most``; None is the dead state."""
-    out = [min(row[0] + 1, most + 1)]
-    for i, w in enumerate(word):
-        out.append(min(row[i] + (w != ch), row[i + 1] + 1, out[i] + 1, most + 1))
-    return tuple(out) if min(out) <= most else None
-
-
 @dataclass
 class Model:
     terms: list[str]
@@ -190,7 +195,7 @@ def mine(rows: list[tuple[set[str], int]], least_odds: float = 10.0, least_docs:
     for w in terms:
         a, b = near[1][w], near[0][w]
         seen_clean = b > 0 and (a < least or math.log(odds(a, b)) < math.log(least_odds))
-        model.loose[w] = 0.0 if seen_clean else 0.5 * model.odds[w]
+        model.loose[w] = 0.0 if seen_clean else 0.7 * model.odds[w]
     return model
 
 
