@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalake.llm import bpe, html, langid, media, minhash, pii, toxicity, warc
+from anomalake.llm import bpe, decontaminate, html, langid, media, minhash, pii, toxicity, warc
 from anomalake.llm.store import Workspace, read_documents
 
 #: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
@@ -30,6 +30,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"), tolerance=0.2)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.duplicates(read_documents(spark, sf_dir), Workspace(spark, "minhash"), size=4, percent=80)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -73,5 +77,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op3_minhash": op3_minhash, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
 ORACLE: dict[str, str] = {}
