@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalake.llm import bpe, decontaminate, html, langid, media, minhash, pii, toxicity, warc
+from anomalake.llm import bpe, decontaminate, html, langid, media, minhash, pii, suffix, toxicity, warc
 from anomalake.llm.store import Workspace, read_documents
 
 #: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
@@ -64,6 +64,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.listed(F.col("pii.base")), 256).alias("base_sha256"), pii.listed(F.col("pii.spans")).alias("spans"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix.deduplicate(read_documents(spark, sf_dir), Workspace(spark, "suffix"), length=200)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 4, 2)))
@@ -77,5 +82,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_suffix": op8_suffix, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
 ORACLE: dict[str, str] = {}
