@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 256 bytes on average.
 CUT_BITS = 8
@@ -183,10 +185,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     A null or empty text has no ids. Repeated rows and ties are encoded alike; an empty table stays empty. Columns
     of those names are replaced, all others are kept.
     """
-    from pyspark.sql import functions as F
-
     keep = [c for c in docs.columns if c not in (ids, decoded)]
-    schema = docs.select(*keep).schema.add(ids, "array<int>")
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(ids, ArrayType(IntegerType()))
     if decoded:
         schema = schema.add(decoded, "string")
 
