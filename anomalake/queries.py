@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from anomalake.plans import knn_queries, metric_queries, table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knn_queries.Q | metric_queries.Q | table_queries.Q
+ORACLE: dict[str, str] = knn_queries.SQL | metric_queries.SQL | table_queries.SQL
