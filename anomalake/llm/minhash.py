@@ -7,8 +7,9 @@ few do, so one comparison of 128 bytes stands for 240. What passes is confirmed
 
 No bucket is expanded into its pairs. Equal sets become one class first. Each class is linked with one leader of its
 buckets; only then, and only between different components, are the rest of a bucket's members compared, in blocks
-of bounded size. A member keeps its nearest few untested partners in another component at a time, and rounds follow
-until nothing was left out, so no link is lost to a limit.
+of bounded size. A block proposes the nearest few pairs of two components, as one link joins them; where it had more
+than those, the two components, if they are still apart, are compared in full on their sets, in blocks again, so no
+link is lost to a limit.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from anomalake.llm.store import Workspace
 
 ROWS, BANDS, BITS = 6, 40, 1024
 SAMPLES = ROWS * BANDS
-#: Members of a bucket that one block holds of each side, and partners a member proposes in each component at a time.
+#: Members of a bucket or component that one block holds of each side, and pairs of two components that a block proposes.
 BLOCK, PARTNERS = 2000, 4
+#: The same for blocks that hold full sets.
+SETS = 500
 #: Node ids up to which the list of documents to confirm is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -38,8 +41,8 @@ _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:,
 
 
 def most_differing(similarity: float) -> int:
-    """The XOR population count that sketches of sets this similar exceed almost never: that of a similarity lower by 0.16."""
-    differ = 2 * SAMPLES * (1 - similarity + 0.16)
+    """The XOR population count that sketches of sets this similar exceed almost never: that of a similarity lower by 0.12."""
+    differ = 2 * SAMPLES * (1 - similarity + 0.12)
     return int(BITS / 2 * (1 - np.exp(-2 * differ / BITS)))
 
 
@@ -94,14 +97,6 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = ids.count()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -111,63 +106,118 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").mapInArrow(sets, "id long, s binary")
+    some = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
     left = pairs.join(some.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     return left.join(some.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def _proposals(limit: int, most: int, percent: int):
-    """Compares the members of each block (sorted by bucket, block) and yields (a, b, distance, cut)."""
-
-    def group(rows: pa.Table) -> list[tuple]:
-        ids, comp, n, side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
-        odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        for i in left:  # one row against a block at a time: memory is a block's
-            z = np.bitwise_count(odd[right] ^ odd[i]).sum(1, dtype=np.int32)
-            lo, hi = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-            j = np.flatnonzero((z <= most) & (comp[right] != comp[i]) & (100 * lo >= percent * hi))
-            if len(j):
-                out.append(np.stack([np.full(len(j), ids[i]), ids[right][j], z[j], comp[right][j]]))
-        if not out:
-            return []
-        a, b, z, c = np.concatenate(out, 1)
-        order = np.lexsort((b, z, c, a))
-        a, b, z, c = a[order], b[order], z[order], c[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-        rank = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        return [(a[rank < limit], b[rank < limit], int((rank >= limit).sum()))]
+def _by_group(solve, keys: tuple[str, ...]):
+    """Hands whole groups of rows (sorted by the keys) to solve, and passes on the batches that it yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            a, b, cut = [], [], 0
-            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(keys)], strict=True):
-                for x, y, more in group(t.slice(s, e - s)):
-                    a.append(x), b.append(y)
-                    cut += more
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], names=["a", "b", "cut"])
+            at = np.stack([t.column(c).to_numpy() for c in keys], 1)
+            edge = (np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()
+            yield from solve([t.slice(x, y - x) for x, y in zip([0, *edge], [*edge, len(at)], strict=True)])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, t]) if held is not None else t
-            key = [held.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
-            last = np.flatnonzero(np.logical_or.reduce([held.column(c).to_numpy() != k for c, k in zip(("bucket", "i", "j"), key, strict=True)]))
-            if len(last):
-                yield from emit(held.slice(0, int(last[-1]) + 1))
-                held = held.slice(int(last[-1]) + 1).combine_chunks()
+            last = [held.column(c)[-1].as_py() for c in keys]
+            other = np.flatnonzero(np.logical_or.reduce([held.column(c).to_numpy() != k for c, k in zip(keys, last, strict=True)]))
+            if len(other):
+                yield from emit(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1).combine_chunks()
         if held is not None:
             yield from emit(held)
 
     return run
 
 
+def _odd(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(rows.num_rows, BITS // 64)
+
+
+def _nearest(rows: pa.Table, most: int, percent: int) -> tuple[np.ndarray, ...] | None:
+    """(a, b, lower component, higher, cut) of a block: the nearest PARTNERS pairs of each two components, and whether there were more."""
+    ids, comp, n, side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+    odd, left, right = _odd(rows), np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out = []
+    for i in left:  # one row against a block at a time: memory is a block's
+        z = np.bitwise_count(odd[right] ^ odd[i]).sum(1, dtype=np.int32)
+        lo, hi = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
+        j = np.flatnonzero((z <= most) & (comp[right] != comp[i]) & (100 * lo >= percent * hi) & ((side[i] == 0) | (ids[right] > ids[i])))
+        if len(j):
+            j = j[np.lexsort((z[j], comp[right][j]))]
+            c = comp[right][j]
+            new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            rank = np.arange(len(j)) - np.repeat(new, np.diff([*new, len(j)]))
+            keep = rank <= PARTNERS  # one more than is proposed, so that a cut shows
+            out.append(np.stack([np.full(keep.sum(), ids[i]), ids[right][j[keep]], z[j[keep]], np.minimum(c[keep], comp[i]), np.maximum(c[keep], comp[i])]))
+    if not out:
+        return None
+    a, b, z, c, d = np.concatenate(out, 1)
+    a, b, z, c, d = (v[np.lexsort((b, a, z, d, c))] for v in (a, b, z, c, d))
+    new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])]))
+    size = np.diff([*new, len(a)])
+    rank = np.arange(len(a)) - np.repeat(new, size)
+    keep = rank < PARTNERS
+    return np.minimum(a, b)[keep], np.maximum(a, b)[keep], c[keep], d[keep], np.repeat(size > PARTNERS, size)[keep]
+
+
+def _proposals(most: int, percent: int):
+    def solve(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in (_nearest(g, most, percent) for g in groups) if x is not None]
+        if got:
+            a, b, c, d, cut = (np.concatenate(v) for v in zip(*got, strict=True))
+            _, one = np.unique(np.stack([a, b]), axis=1, return_index=True)  # a pair that shares several of the task's buckets
+            cut = np.isin(c * np.int64(1_000_003) + d, (c * np.int64(1_000_003) + d)[cut])  # at worst one pair of components more
+            yield pa.RecordBatch.from_arrays([pa.array(v[one]) for v in (a, b, c, d, cut)], names=["a", "b", "c", "d", "cut"])
+
+    return _by_group(solve, ("bucket", "i", "j"))
+
+
+def _in_full(most: int, percent: int):
+    """Compares a block of a component (side 0) with the members of others (side 1) on their sets; yields a link for each two components."""
+
+    def solve(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rows in groups:
+            ids, comp, n, side = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+            odd, sets = _odd(rows), [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("s").combine_chunks()]
+            left, right, done = np.flatnonzero(side == 0), np.flatnonzero(side == 1), set()
+            for i in right:
+                if comp[i] in done:
+                    continue
+                z = np.bitwise_count(odd[left] ^ odd[i]).sum(1, dtype=np.int32)
+                for j in left[np.argsort(z, kind="stable")][: int((z <= most).sum())]:
+                    if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
+                        both = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            out.append((ids[i], ids[j]))
+                            done.add(comp[i])
+                            break
+        if out:
+            a, b = np.array(out, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return _by_group(solve, ("whole", "i", "j"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, s): the full sets of the documents whose ids are listed."""
+    n = ids.count()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").mapInArrow(sets, "id long, s binary")
+
+
 def duplicates(docs: DataFrame, ws: Workspace, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs, with links where sets of ``size``-word shingles reach ``percent``.
 
@@ -198,50 +248,76 @@ def duplicates(docs: DataFrame, ws: Workspace, size: int = 5, percent: int = 80,
     tested = ws.table(nearest, "pairs")
     links = ws.table(confirm(tested, rows, size, percent), "links")
 
-    limit = PARTNERS
-    while True:
-        comp = components(links, ws)
-        comp = node.select("id", "n", "odd").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("comp"))
-        inside = shared.select("id", "bucket").join(comp, "id")
-        open_ = inside.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
-        rest = inside.join(open_, "bucket").withColumn("major", F.col("comp") == F.col("c0"))
-        # the rows of one component of a bucket are never compared with each other: minor rows meet blocks of major ones, and minor ones
-        minor = rest.filter("not major").groupBy("bucket").agg(F.count("*").alias("minors"))
-        rest = rest.join(minor, "bucket")
-        wide = F.ceil((F.col("size") - F.col("minors")) / BLOCK).cast("int")
-        deep = F.ceil(F.col("minors") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("id"), F.when(F.col("major"), wide).otherwise(deep)).cast("int")
-        rest = rest.withColumn("wide", wide).withColumn("deep", deep).withColumn("mine", mine)
-        small = F.col("size") <= BLOCK
-        cells = (
-            F.when(small, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))))
-            .when(F.col("major"), F.transform(F.sequence(F.lit(0), F.col("deep") - 1), lambda d: F.struct(F.col("mine").alias("i"), d.alias("j"), F.lit(1).alias("side"))))
-            .otherwise(
-                F.concat(
-                    F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda w: F.struct(w.alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"))),
-                    # minors among themselves: block i against block j, i <= j, in cells of their own
-                    F.transform(
-                        F.sequence(F.lit(0), F.col("deep") - 1),
-                        lambda d: F.struct((-1 - F.least(F.col("mine"), d)).alias("i"), F.greatest(F.col("mine"), d).alias("j"), F.when(d == F.col("mine"), 2).when(F.col("mine") < d, 0).otherwise(1).alias("side")),
-                    ),
-                )
+    reached = components(links, ws)
+    comp = node.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("comp"))
+    inside = shared.select("id", "bucket").join(comp, "id")
+    open_ = inside.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
+    rest = inside.join(open_, "bucket").withColumn("major", F.col("comp") == F.col("c0"))
+    # the rows of one component of a bucket are never compared with each other: minor rows meet blocks of major ones, and minor ones
+    minor = rest.filter("not major").groupBy("bucket").agg(F.count("*").alias("minors"))
+    rest = rest.join(minor, "bucket")
+    wide = F.ceil((F.col("size") - F.col("minors")) / BLOCK).cast("int")
+    deep = F.ceil(F.col("minors") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("major"), wide).otherwise(deep)).cast("int")
+    rest = rest.withColumn("wide", wide).withColumn("deep", deep).withColumn("mine", mine)
+    small = F.col("size") <= BLOCK
+    cells = (
+        F.when(small, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))))
+        .when(F.col("major"), F.transform(F.sequence(F.lit(0), F.col("deep") - 1), lambda d: F.struct(F.col("mine").alias("i"), d.alias("j"), F.lit(1).alias("side"))))
+        .otherwise(
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda w: F.struct(w.alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"))),
+                # minors among themselves: block i against block j, i <= j, in cells of their own
+                F.transform(
+                    F.sequence(F.lit(0), F.col("deep") - 1),
+                    lambda d: F.struct((-1 - F.least(F.col("mine"), d)).alias("i"), F.greatest(F.col("mine"), d).alias("j"), F.when(d == F.col("mine"), 2).when(F.col("mine") < d, 0).otherwise(1).alias("side")),
+                ),
             )
         )
-        cell = rest.select("bucket", "id", "comp", "n", "odd", F.explode(cells).alias("x")).select("bucket", "x.i", "x.j", F.col("x.side").cast("long").alias("side"), "id", "comp", "n", "odd")
-        dealt = cell.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = ws.table(dealt.mapInArrow(_proposals(limit, most, percent), "a long, b long, cut long").groupBy("a", "b").agg(F.max("cut").alias("cut")), "proposals")
-        fresh = found.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        fresh = ws.table(fresh, "fresh")
-        n, cut = fresh.agg(F.count("*"), F.coalesce(F.sum("cut"), F.lit(0))).first()
-        cut = cut or found.filter("cut > 0").limit(1).count()
-        if n:
-            pairs = fresh.select("a", "b")
-            links = ws.table(links.unionByName(confirm(pairs, rows, size, percent)), "links")
-            tested = ws.table(tested.unionByName(pairs), "pairs")
-        if not cut:
-            break
-        limit *= 8
-    final = components(links, ws).select(F.col("node").alias("rep"), "component")
+    )
+    cell = rest.select("bucket", "id", "comp", "n", "odd", F.explode(cells).alias("x")).select("bucket", "x.i", "x.j", F.col("x.side").cast("long").alias("side"), "id", "comp", "n", "odd")
+    dealt = cell.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = ws.table(dealt.mapInArrow(_proposals(most, percent), "a long, b long, c long, d long, cut boolean"), "proposals")
+    fresh = found.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = ws.table(confirm(ws.table(fresh, "fresh"), rows, size, percent), "links")
+    if not more.isEmpty():  # components so far are stars: new links join them
+        links = reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        reached = components(links, ws)
+    apart = _still_apart(found.filter("cut").select("c", "d").distinct(), reached)
+    apart = ws.table(apart, "apart")
+    if not apart.isEmpty():
+        more = ws.table(_compare(apart, node, reached, rows, size, percent, most), "links")
+        links = reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        reached = components(links, ws)
+    final = reached.select(F.col("node").alias("rep"), "component")
     whole = sk.select("id", "n", "key").join(cls.select("key", F.col("id").alias("rep")), "key", "left").join(final, "rep", "left")
     own = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _still_apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """(c, d): the pairs of components as they are now, where they differ."""
+    to = reached.select(F.col("node"), F.col("component"))
+    p = pairs.join(to.withColumnsRenamed({"node": "c", "component": "x"}), "c", "left").join(to.withColumnsRenamed({"node": "d", "component": "y"}), "d", "left")
+    p = p.select(F.coalesce("x", "c").alias("c"), F.coalesce("y", "d").alias("d")).filter("c <> d")
+    return p.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
+
+
+def _compare(apart: DataFrame, node: DataFrame, reached: DataFrame, rows: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """Links between components that proposals didn't settle: the larger one's blocks meet blocks of all the others', on full sets."""
+    member = node.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("comp"))
+    weight = member.groupBy("comp").agg(F.count("*").alias("w"))
+    p = apart.join(weight.withColumnsRenamed({"comp": "c", "w": "wc"}), "c").join(weight.withColumnsRenamed({"comp": "d", "w": "wd"}), "d")
+    first = F.col("wc") >= F.col("wd")
+    p = p.select(F.when(first, F.col("c")).otherwise(F.col("d")).alias("whole"), F.when(first, F.col("d")).otherwise(F.col("c")).alias("part"), F.greatest("wc", "wd").alias("w"), F.least("wc", "wd").alias("v"))
+    cells = p.groupBy("whole").agg(F.max("w").alias("w"), F.sum("v").alias("v")).select("whole", F.ceil(F.col("w") / SETS).cast("int").alias("wide"), F.ceil(F.col("v") / SETS).cast("int").alias("deep"))
+    used = p.select(F.col("whole").alias("comp")).unionByName(p.select(F.col("part").alias("comp"))).distinct()
+    held = member.join(used, "comp", "left_semi")
+    held = held.join(_sets(rows, held.select("id"), size), "id")
+    pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    majors = held.join(cells, F.col("comp") == F.col("whole")).withColumn("i", pick("wide")).withColumn("j", every("deep")).withColumn("side", F.lit(0).cast("long"))
+    minors = held.join(p.select("whole", "part"), F.col("comp") == F.col("part")).join(cells, "whole").withColumn("j", pick("deep")).withColumn("i", every("wide")).withColumn("side", F.lit(1).cast("long"))
+    names = ["whole", "i", "j", "side", "id", "comp", "n", "odd", "s"]
+    dealt = majors.select(*names).unionByName(minors.select(*names)).repartition("whole", "i", "j").sortWithinPartitions("whole", "i", "j")
+    return dealt.mapInArrow(_in_full(most, percent), "a long, b long")

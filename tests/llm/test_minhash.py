@@ -55,6 +55,7 @@ def test_query_against_brute_force(spark):
 def test_chains_groups_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "PARTNERS", 1)
+    monkeypatch.setattr(minhash, "SETS", 5)
     r = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     rows, text = [(0, None), (1, ""), (2, " \t"), (3, "One two"), (4, "one  TWO"), (5, "one two é")], list(base)
