@@ -177,15 +177,32 @@ def _sorted_groups(length: int):
     """Takes pieces (h, id, first, piece) sorted by h; yields the spans (id, a, b) that repeat within whole groups of one h."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h, ids, first = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        size = np.array([len(r[3]) for r in rows], np.int64)
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        begin, count = np.cumsum(size) - size, size - length + 1
-        flag = repeated_starts(data, begin, count, h, length)
-        which = np.repeat(np.arange(len(rows)), count)
-        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[which]
-        o, a, b = runs(flag, which, start, length)
-        return pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "a", "b"])
+        # equal pieces of a group repeat as a whole: one of them is sorted, and only against others
+        which: dict[tuple[int, bytes], int] = {}
+        of = [which.setdefault((r[0], r[3]), len(which)) for r in rows]
+        pieces = list(which)
+        times = np.bincount(of, minlength=len(pieces))
+        group = np.array([h for h, _ in pieces], np.int64)
+        others = np.unique(group, return_inverse=True, return_counts=True)
+        todo = np.flatnonzero(others[2][others[1]] > 1)
+        flags: list[np.ndarray | None] = [None] * len(pieces)
+        if len(todo):
+            size = np.array([len(pieces[i][1]) for i in todo], np.int64)
+            data = np.frombuffer(b"".join(pieces[i][1] for i in todo), np.uint8)
+            count = size - length + 1
+            flag = repeated_starts(data, np.cumsum(size) - size, count, group[todo], length)
+            for i, f in zip(todo.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
+                flags[i] = f
+        ids, first, last = [], [], []
+        for row, i in zip(rows, of, strict=True):
+            if times[i] > 1:
+                ids.append(row[1]), first.append(row[2]), last.append(row[2] + len(row[3]))
+            elif flags[i] is not None:
+                _, a, b = runs(flags[i], np.zeros(len(flags[i]), np.int8), np.arange(len(flags[i])) + row[2], length)
+                ids += [row[1]] * len(a)
+                first += a.tolist()
+                last += b.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["id", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
