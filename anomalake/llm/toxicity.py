@@ -162,36 +162,69 @@ def signature(words: set[str]) -> int:
     return int(mix(np.fromiter((int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") ^ (len(w) << 56) for w in words), np.uint64, len(words))).min())
 
 
-def mine(rows: list[tuple[set[str], int]], least_odds: float = 10.0, least_docs: int = 6, most: int = 4000) -> Model:
-    """The lexicon of word sets with labels: terms and stems in at least ``least_docs`` rows of label 1, ``least_odds`` times likelier there."""
-    pos, neg = [w for w, y in rows if y], [w for w, y in rows if not y]
-    least = max(least_docs, len(pos) // 100)
+class Rows:
+    """Labelled word sets, held as arrays of word numbers."""
+
+    def __init__(self, words: list[list[str]], labels: list[int]):
+        number: dict[str, int] = {}
+        self.sets = [np.fromiter((number.setdefault(w, len(number)) for w in dict.fromkeys(ws)), np.int32) for ws in words]
+        self.labels, self.vocabulary = np.array(labels, np.int32), list(number)
+
+    def text(self, i: int) -> str:
+        return " ".join(sorted(self.vocabulary[k] for k in self.sets[i]))
+
 
-    def prefixes(words: set[str]) -> set[str]:
-        return {w[:n] for w in words for n in range(3, min(len(w), 9))}
+def mine(rows: Rows, use: list[int], least_odds: float = 10.0, least_docs: int = 6, most: int = 4000) -> Model:
+    """The lexicon of some of the rows: terms and stems in at least ``least_docs`` rows of label 1, ``least_odds`` times likelier there.
+
+    Stems are the proper prefixes of 3 to 8 characters.
+    """
+    vocabulary = rows.vocabulary
+    pos, neg = ([i for i in use if rows.labels[i] == y] for y in (1, 0))
+    least = max(least_docs, len(pos) // 100)
 
     def odds(a: float, b: float) -> float:
         return (a + 0.5) / (len(pos) + 1) * (len(neg) + 1) / (b + 0.5)
 
-    term, stem = Counter(w for s in pos for w in s), Counter(p for s in pos for p in prefixes(s))
-    seen, opened = {w for w, n in term.items() if n >= least and len(w) >= 3}, {p for p, n in stem.items() if n >= least}
-    term0, stem0 = Counter(w for s in neg for w in s if w in seen), Counter(p for s in neg for p in prefixes(s) & opened)
-    top: Counter = Counter()
-    for w, n in term.items():
-        for k in range(3, min(len(w) + 1, 10)):
-            top[w[:k]] = max(top[w[:k]], n)
-    stems: list[str] = []
-    for p in sorted(opened, key=lambda p: (-(stem[p] * math.log(odds(stem[p], stem0[p]))), p)):  # evidence first
+    number: dict[str, int] = {}
+    prefix = np.full((len(vocabulary), 7), -1, np.int32)  # of 3 to 9 characters
+    for k in {int(k) for i in pos for k in rows.sets[i]}:  # a stem of no such row is never chosen
+        for n in range(3, min(len(vocabulary[k]), 9) + 1):
+            prefix[k, n - 3] = number.setdefault(vocabulary[k][:n], len(number))
+    for k, w in enumerate(vocabulary):
+        for n in range(3, min(len(w), 9) + 1):
+            if prefix[k, n - 3] < 0:
+                prefix[k, n - 3] = number.get(w[:n], -1)
+    length = np.array([len(w) for w in vocabulary] or [0])
+    proper = prefix[:, :6].copy()
+    for n in range(3, 9):
+        proper[length[: len(proper)] <= n, n - 3] = -1
+    term, term0 = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    stem, stem0, top = (np.zeros(len(number) + 1, np.int64) for _ in range(3))  # the last is for no prefix
+    for part, words, stems in ((pos, term, stem), (neg, term0, stem0)):
+        for i in part:
+            words[rows.sets[i]] += 1
+            stems[np.unique(proper[rows.sets[i]])] += 1
+    for column in prefix.T:
+        np.maximum.at(top, column, term)
+    names = list(number)
+    opened = [int(p) for p in np.flatnonzero(stem[:-1] >= least)]
+    chosen: list[str] = []
+    weight: dict[str, float] = {}
+    for p in sorted(opened, key=lambda p: (-(stem[p] * math.log(odds(stem[p], stem0[p]))), names[p])):  # evidence first
+        w = names[p]
         # a stem must add rows to what its commonest word has alone
-        if odds(stem[p], stem0[p]) >= least_odds and stem[p] >= 1.5 * top[p] and not any(p.startswith(q) or q.startswith(p) for q in stems):
-            stems.append(p)
-    stems = stems[:most]
-    terms = [w for w in seen if odds(term[w], term0[w]) >= least_odds and not any(w.startswith(q) for q in stems)]
-    terms = sorted(terms, key=lambda w: (-term[w], w))[:most]
-    model = Model(terms, stems, {w: math.log(odds(term[w], term0[w])) for w in terms} | {p: math.log(odds(stem[p], stem0[p])) for p in stems}, {}, [0.0] * 4)
+        if odds(stem[p], stem0[p]) >= least_odds and stem[p] >= 1.5 * top[p] and len(chosen) < most and not any(w.startswith(q) or q.startswith(w) for q in chosen):
+            chosen.append(w)
+            weight[w] = math.log(odds(stem[p], stem0[p]))
+    seen = [int(k) for k in np.flatnonzero(term >= least) if length[k] >= 3 and odds(term[k], term0[k]) >= least_odds and not any(vocabulary[k].startswith(q) for q in chosen)]
+    seen = sorted(seen, key=lambda k: (-term[k], vocabulary[k]))[:most]
+    weight |= {vocabulary[k]: math.log(odds(term[k], term0[k])) for k in seen}
+    terms = [vocabulary[k] for k in seen]
+    model = Model(terms, chosen, weight, {}, [0.0] * 4)
     near: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for words, y in rows:
-        near[y].update({entry for _, kind, entry, _ in model.hits(" ".join(words)) if kind == "fuzzy"})
+    for i in use:
+        near[int(rows.labels[i])].update({entry for _, kind, entry, _ in model.hits(rows.text(i)) if kind == "fuzzy"})
     for w in terms:
         a, b = near[1][w], near[0][w]
         seen_clean = b > 0 and (a < least or math.log(odds(a, b)) < math.log(least_odds))
@@ -225,20 +258,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(picked), "key").select("y", "text")
     got = joined.mapInArrow(sets, "y int, sig string, words string").groupBy("sig", "y").agg(F.min("words").alias("words")).orderBy("sig", "y").collect()
-    rows = [(set(r.words.split()), r.y) for r in got]
-    share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
-    model = mine(rows)
+    rows = Rows([r.words.split() for r in got], [r.y for r in got])
+    every = list(range(len(got)))
+    share = (int(rows.labels.sum()) + 0.5) / (len(got) + 1)
+    del got
+    model = mine(rows, every)
     model.weights = [math.log(share / (1 - share)), 0.0, 0.0, 0.0]
-    if 0 < sum(y for _, y in rows) < len(rows):
+    if 0 < rows.labels.sum() < len(every):
         # each row's features come from the lexicon of the other rows, so a chance entry doesn't vouch for itself
-        x: list[list[float]] = [[]] * len(rows)
+        x: list[list[float]] = [[]] * len(every)
         for part in (0, 1):
-            other = mine([r for i, r in enumerate(rows) if i % 2 != part])
-            for i in range(part, len(rows), 2):
-                x[i] = other.features(" ".join(rows[i][0]))
-        fitted = regress(np.array(x), np.array([float(y) for _, y in rows]))
+            other = mine(rows, [i for i in every if i % 2 != part])
+            for i in every[part::2]:
+                x[i] = other.features(rows.text(i))
+        fitted = regress(np.array(x), rows.labels.astype(float))
         # loose odds are bounded already: a misspelling counts as much as they say even where the sample has none
         model.weights = [fitted[0], *(max(0.0, w) for w in fitted[1:3]), max(0.0, fitted[3], fitted[1])]
+    model._memo.clear()
     return model
 
 
