@@ -81,3 +81,27 @@ def union_reports(*parts: DataFrame) -> DataFrame:
 def stage_rollup(rows: DataFrame) -> DataFrame:
     """Calls, seconds and the highest peak for each phase and stage."""
     return rows.groupBy("phase", "stage").agg(F.count("*").alias("calls"), F.sum("seconds").alias("seconds"), F.max("peak").alias("peak"))
+
+
+def close(a: DataFrame, b: DataFrame, keys: list[str], metric: str, tolerance: float = 1e-9) -> DataFrame:
+    """Keys whose metric differs by more than the tolerance between two tables, or is missing in one."""
+    j = a.select(*keys, F.col(metric).alias("_a")).join(b.select(*keys, F.col(metric).alias("_b")), keys, "full_outer")
+    return j.filter(~F.coalesce(F.abs(F.col("_a") - F.col("_b")) <= tolerance, F.col("_a").isNull() & F.col("_b").isNull())).select(*keys, F.col("_a").alias("first"), F.col("_b").alias("second"))
+
+
+def combined(image: DataFrame, pixel: DataFrame, key: str, image_metrics: list[str], pixel_metrics: list[str]) -> DataFrame:
+    """Image metrics of one method beside pixel metrics of another, by category."""
+    return image.select(key, *image_metrics).join(pixel.select(key, *pixel_metrics), key)
+
+
+def markdown(report: DataFrame, digits: int = 4, most: int = 1000) -> str:
+    """A report of few rows as a Markdown table; missing values are N/A. More than ``most`` rows are an error."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many rows for a report")
+
+    def cell(v) -> str:
+        return "N/A" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+
+    lines = [report.columns, ["---"] * len(report.columns), *([cell(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
