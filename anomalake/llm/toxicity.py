@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -54,11 +55,11 @@ class Trie:
 
     def exact(self, word: str) -> tuple[str, str, int] | None:
         node, stem = self.root, None
-        for ch in word:
+        for i, ch in enumerate(word, 1):
             node = node.get(ch)
             if node is None:
                 return stem and ("stem", stem, 0)
-            if "" in node and "stem" in node[""]:
+            if i < len(word) and "" in node and "stem" in node[""]:  # something has to follow a stem
                 stem = node[""]["stem"]
         if "" in node and "term" in node[""]:
             return ("term", node[""]["term"], 0)
@@ -155,11 +156,12 @@ def context(tokens: list[str], i: int) -> float:
     return 1.25 if around & ADDRESS else 1.0
 
 
-def signature(words: set[str]) -> int:
-    """A min-hash of a word set: copies and near copies mostly share it, so a copied text teaches once."""
+def signature(words: set[str]) -> str:
+    """Three min-hashes of a word set: copies and most near copies share them, so a copied text teaches once."""
     if not words:
-        return 0
-    return int(mix(np.fromiter((int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") ^ (len(w) << 56) for w in words), np.uint64, len(words))).min())
+        return ""
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) | len(w) << 40 for w in words), np.uint64, len(words))
+    return "-".join(f"{int(mix(h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min()):x}" for k in (1, 2, 3))
 
 
 class Rows:
@@ -228,7 +230,7 @@ def mine(rows: Rows, use: list[int], least_odds: float = 10.0, least_docs: int =
     for w in terms:
         a, b = near[1][w], near[0][w]
         seen_clean = b > 0 and (a < least or math.log(odds(a, b)) < math.log(least_odds))
-        model.loose[w] = 0.0 if seen_clean else 0.7 * model.odds[w]
+        model.loose[w] = 0.0 if seen_clean else 0.8 * model.odds[w]
     return model
 
 
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [sorted(set(WORD.findall((t or "").lower()))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([str(signature(set(w))) for w in words]), pa.array([" ".join(w) for w in words], pa.string())], names=["y", "sig", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(set(w)) for w in words]), pa.array([" ".join(w) for w in words], pa.string())], names=["y", "sig", "words"])
 
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(picked), "key").select("y", "text")
     got = joined.mapInArrow(sets, "y int, sig string, words string").groupBy("sig", "y").agg(F.min("words").alias("words")).orderBy("sig", "y").collect()
