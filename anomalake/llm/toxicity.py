@@ -176,7 +176,7 @@ class Rows:
         return " ".join(sorted(self.vocabulary[k] for k in self.sets[i]))
 
 
-def mine(rows: Rows, use: list[int], least_odds: float = 10.0, least_docs: int = 6, most: int = 4000) -> Model:
+def mine(rows: Rows, use: list[int], least_odds: float = 6.0, least_docs: int = 6, most: int = 4000) -> Model:
     """The lexicon of some of the rows: terms and stems in at least ``least_docs`` rows of label 1, ``least_odds`` times likelier there.
 
     Stems are the proper prefixes of 3 to 8 characters.
