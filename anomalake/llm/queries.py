@@ -83,4 +83,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_media": op1_media, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_bpe": op4_bpe, "op5_html": op5_html, "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_suffix": op8_suffix, "op9_toxicity": op9_toxicity, "op10_langid": op10_langid}
-ORACLE: dict[str, str] = {}
+#: Base32 in SQL: five hexadecimal digits of the SHA-1 make four letters.
+ORACLE: dict[str, str] = {
+    "op6_warc": """with p as (select page_id, sha1(coalesce(html, '')) h, octet_length(encode(coalesce(html, ''))) n from pages),
+d as (select *, min(page_id) over (partition by h) f, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (((('0x' || substr(h, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)))::int, 1)) c from p)
+select page_id, n::bigint payload_bytes, array_to_string(c, '') payload_digest, case when page_id = f then 'response' else 'revisit' end record_type, case when page_id <> f then f end refers_to from d""",
+}

@@ -6,7 +6,7 @@ import os
 import duckdb
 
 from anomalake.llm import warc
-from anomalake.llm.queries import op6_warc
+from anomalake.llm.queries import ORACLE, op6_warc
 from anomalake.llm.store import Workspace, filesystem
 
 
@@ -73,3 +73,13 @@ def test_gap_rows_of_a_damaged_archive(spark):
         f.write(b"\xff" * 30)
     got = warc.read(table, width=512).collect()
     assert sum(r.kind == "record" for r in got) >= 28 and sum(r.kind == "gap" for r in got) == 1
+
+
+def test_query_equals_its_sql(spark):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet'")
+    got = op6_warc(spark, d)
+    cur = con.execute(ORACLE["op6_warc"])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall()) and set(got.columns) == set(names)
