@@ -7,8 +7,9 @@ anchors at the same place, and an anchor that occurs once in the corpus needs no
 repeat, the bytes around them, the strings they are the anchor of, are grouped by anchor. Each group's suffix array
 is built by the difference-cover algorithm (the triples at two of three places are sorted and named, names that
 repeat are sorted by recursion, the remaining suffixes are merged in), and neighbours in it whose ``length``-byte
-prefixes agree mark each other. An anchor with more occurrences than a group holds is dealt out again by its
-strings' hashes, with partial counts before the shuffle, which is as exact and has no large group.
+prefixes agree mark each other. Pieces that are equal as a whole mark each other before any sorting. A
+batch too large for an array in memory is ordered by its strings' hashes, and an anchor with more occurrences than a
+group holds is dealt out again by those hashes, with partial counts before the shuffle.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from anomalake.llm.bpe import slices
 from anomalake.llm.store import Workspace
 
 _U = np.uint64
-#: Bytes of an anchor's k-gram; occurrences of an anchor up to which its strings are sorted as one group; bytes sorted at a time.
-GRAM, HOT, CHUNK = 48, 6000, 2 << 20
+#: Bytes of an anchor's k-gram; occurrences of an anchor up to which it is one group; bytes sorted at a time.
+GRAM, HOT, CHUNK = 48, 60_000, 2 << 20
+#: Bytes of a batch's distinct pieces up to which a suffix array is built (about 100 bytes of memory each); beyond, strings are told by hash.
+ARRAY = 6 << 20
 #: Rows up to which the spans found are broadcast to the documents (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_SPANS = 1_000_000
 
@@ -148,12 +151,15 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, count: np.ndarray, grou
     """
     which = np.repeat(np.arange(len(begin)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-    valid = np.full(len(data), -1, np.int64)
-    valid[start] = np.arange(len(start))
-    order = valid[suffix_array(data.astype(np.int64))]
-    order = order[order >= 0]
-    at = start[order]
     prefix = textvec.prefix_hash(data)
+    if len(data) <= ARRAY:
+        valid = np.full(len(data), -1, np.int64)
+        valid[start] = np.arange(len(start))
+        order = valid[suffix_array(data.astype(np.int64))]
+        order = order[order >= 0]
+    else:
+        order = np.argsort(textvec.span_hash(prefix, start, start + length), kind="stable")
+    at = start[order]
     h = textvec.span_hash(prefix, at, at + length)
     same = (h[1:] == h[:-1]) & (group[which[order[1:]]] == group[which[order[:-1]]])
     out = np.zeros(len(start), bool)
