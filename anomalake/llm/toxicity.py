@@ -244,7 +244,7 @@ def regress(x: np.ndarray, y: np.ndarray, l2: float = 0.2, steps: int = 40) -> l
     return [float(v) for v in w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_train_rows: int = 10000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_train_rows: int = 6000) -> Model:
     """Fits on the labelled rows; at most ``max_train_rows`` of them (the smallest hashes of the key) reach the driver, as word sets.
 
     Rows with a null key, label or text teach nothing; repeated rows and copies teach once. Without rows of both
