@@ -230,7 +230,8 @@ def mine(rows: Rows, use: list[int], least_odds: float = 6.0, least_docs: int =
     for w in terms:
         a, b = near[1][w], near[0][w]
         seen_clean = b > 0 and (a < least or math.log(odds(a, b)) < math.log(least_odds))
-        model.loose[w] = 0.0 if seen_clean else 0.8 * model.odds[w]
+        weak = model.odds[w] < math.log(30)  # a chance entry isn't worth its misspellings
+        model.loose[w] = 0.0 if seen_clean or weak else 0.8 * model.odds[w]
     return model
 
 
