@@ -29,6 +29,7 @@ WORD = re.compile(r"[^\W_]+")
 FUZZY_FROM = 5
 #: Words on each side of a hit that its weight depends on.
 WINDOW = 6
+#: Tokens whose matches a task keeps; beyond, it starts anew with the next text.
 MEMO = 600_000
 # Words that report speech, and words that address someone.
 REPORTS = frozenset("said says say wrote writes called calls quote quoted quoting told asked claimed dit disait sagte schrieb dijo escribió".split())
@@ -114,8 +115,6 @@ class Model:
 
     def look(self, token: str) -> tuple[str, str, int] | None:
         """The best match among the words of a white-space token; kept for the next time."""
-        if len(self._memo) > MEMO:
-            self._memo.clear()
         got = None
         for w in WORD.findall(token):
             m = self._trie.match(w)
@@ -129,6 +128,8 @@ class Model:
         if self._trie is None:
             self._trie = Trie(self.terms, self.stems)
         tokens = (text or "").lower().split()
+        if len(self._memo) > MEMO:  # between texts only: the lines below read it for every token of this one
+            self._memo.clear()
         memo = self._memo
         for t in set(tokens):
             if t not in memo:

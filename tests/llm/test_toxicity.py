@@ -66,3 +66,13 @@ def test_misspelled_terms_are_caught(spark):
     rows = spark.createDataFrame(clean + bad, "doc_id long, text string, toxic int")
     m = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
     assert m.score("what a disgustng wothless thing") > 0.3 > m.score("what a nice thing")
+
+
+def test_more_distinct_tokens_than_the_memo_holds(monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(i, i + 9)) + " idiot w0" for i in range(0, 60, 3)]
+    m = toxicity.Model(["idiot"], [], {"idiot": 4.0}, {"idiot": 3.0}, [-1.0, 1.0, 1.0, 1.0])
+    want = [m.hits(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMO", 4)
+    m._memo.clear()
+    assert [m.hits(t) for t in texts] == want and all(h == [(9, "term", "idiot", 1.0)] for h in want)
+    assert len(m._memo) <= 4 + 11
