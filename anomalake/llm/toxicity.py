@@ -25,8 +25,10 @@ from anomalake.llm.bpe import slices
 from anomalake.llm.textvec import mix
 
 WORD = re.compile(r"[^\W_]+")
-#: Terms shorter than this are only matched as they are spelled: at one edit they meet too many words.
+#: Misspellings of shorter entries count only where someone is addressed: at one edit they meet many words.
 FUZZY_FROM = 5
+#: Misspellings are expected in this share of a term's toxic rows, besides those that the rows hold.
+MISSPELLED = 0.3
 #: Words on each side of a hit that its weight depends on.
 WINDOW = 6
 #: Tokens whose matches a task keeps; beyond, it starts anew with the next text.
@@ -49,10 +51,12 @@ class Trie:
                 for ch in e:
                     node = node.setdefault(ch, {})
                 node.setdefault("", {})[kind] = e
-        long = [e for e in self.terms if len(e) >= FUZZY_FROM]
-        # one edit leaves the first two or the last two characters of a term as they are
-        self.heads, self.tails = {e[:2] for e in long}, {e[-2:] for e in long}
-        self.shortest, self.longest = min(map(len, long), default=0), max(map(len, long), default=-2)
+        # one edit leaves the first two or the last two characters of a longer term as they are, a shorter one its first or last
+        self.heads, self.tails = {e[: 1 + (len(e) > 3)] for e in self.terms}, {e[-1 - (len(e) > 3) :] for e in self.terms}
+        self.shortest, self.longest = min(map(len, self.terms), default=0), max(map(len, self.terms), default=-2)
+        # of a stem it leaves the first character, or the next two, which are then moved by one place at most
+        self.stem_heads, self.stem_next = {e[:1] for e in self.stems}, {e[1:3] for e in self.stems}
+        self.stem_shortest = min(map(len, self.stems), default=1 << 30)
 
     def exact(self, word: str) -> tuple[str, str, int] | None:
         node, stem = self.root, None
@@ -67,16 +71,19 @@ class Trie:
         return stem and ("stem", stem, 0)
 
     def fuzzy(self, word: str) -> tuple[str, str, int] | None:
-        """The smallest term one edit off, by walking the trie and the states of the word's Levenshtein automaton at once.
+        """The smallest term one edit off, else the smallest stem (marked by a ``*``) one edit off what opens the word.
 
-        A state is (characters read, edits made). Before the edit the only trie path is the word itself; from each
-        state on it the automaton may drop, replace or insert a character, and after that nothing but the word's
-        rest leads on, so the walk visits few nodes whatever the lexicon's size.
+        The trie and the states of the word's Levenshtein automaton are walked at once. A state is (characters read,
+        edits made). Before the edit the only trie path is the word itself; from each state on it the automaton may
+        drop, replace or insert a character, and after that nothing but the word's rest leads on, so the walk visits
+        few nodes whatever the lexicon's size.
         """
         n = len(word)
-        if not self.shortest - 1 <= n <= self.longest + 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
+        whole = self.shortest - 1 <= n <= self.longest + 1 and not (self.heads.isdisjoint((word[:1], word[:2])) and self.tails.isdisjoint((word[-1:], word[-2:])))
+        opens = n >= self.stem_shortest and (word[:1] in self.stem_heads or not self.stem_next.isdisjoint((word[:2], word[1:3], word[2:4])))
+        if not whole and not opens:
             return None
-        best, node = None, self.root
+        best, stem, node = None, None, self.root
         for i in range(n + 1):
             ways = [(node, i + 1)] if i < n else []
             for ch, child in node.items():
@@ -85,16 +92,20 @@ class Trie:
                     if i < n and ch != word[i]:
                         ways.append((child, i + 1))
             for at, k in ways:
-                while k < n and at:
+                while at:
+                    end = at.get("")
+                    if end and k < n and "stem" in end and (stem is None or end["stem"] < stem):  # something has to follow a stem
+                        stem = end["stem"]
+                    if k == n:
+                        if end and "term" in end and end["term"] != word and (best is None or end["term"] < best):
+                            best = end["term"]
+                        break
                     at = at.get(word[k])
                     k += 1
-                end = at and at.get("")
-                if end and "term" in end and len(end["term"]) >= FUZZY_FROM and end["term"] != word and (best is None or end["term"] < best):
-                    best = end["term"]
             node = node.get(word[i]) if i < n else None
             if node is None:
                 break
-        return best and ("fuzzy", best, 1)
+        return ("fuzzy", best, 1) if best else stem and ("fuzzy", f"{stem}*", 1)
 
     def match(self, word: str) -> tuple[str, str, int] | None:
         return self.exact(word) or self.fuzzy(word)
@@ -104,21 +115,22 @@ class Trie:
 class Model:
     terms: list[str]
     stems: list[str]
-    odds: dict[str, float]  # an entry's log odds for the label
-    loose: dict[str, float]  # a term's log odds when it is met misspelled; 0 where clean texts hold such words too
+    odds: dict[str, float]  # an entry's log odds for the label; a stem's key ends with ``*``
+    loose: dict[str, float]  # an entry's log odds when it is met misspelled
     weights: list[float]  # bias, term, stem, fuzzy
+    clean: frozenset[str] = frozenset()  # words one edit off an entry that clean texts hold: no misspellings
     _trie: Trie | None = field(default=None, repr=False)
     _memo: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "odds": self.odds, "loose": self.loose, "weights": self.weights, "_trie": None, "_memo": {}}
+        return {"terms": self.terms, "stems": self.stems, "odds": self.odds, "loose": self.loose, "weights": self.weights, "clean": self.clean, "_trie": None, "_memo": {}}
 
     def look(self, token: str) -> tuple[str, str, int] | None:
         """The best match among the words of a white-space token; kept for the next time."""
         got = None
         for w in WORD.findall(token):
             m = self._trie.match(w)
-            if m and (got is None or m[2] < got[2]):
+            if m and (got is None or m[2] < got[2]) and not (m[2] and w in self.clean):
                 got = m
         self._memo[token] = got
         return got
@@ -135,12 +147,13 @@ class Model:
             if t not in memo:
                 self.look(t)
         found = [(i, memo[t]) for i, t in enumerate(tokens) if memo[t] is not None] if any(memo[t] is not None for t in set(tokens)) else []
-        return [(i, m[0], m[1], context(tokens, i)) for i, m in found]
+        weighed = ((i, kind, entry, context(tokens, i)) for i, (kind, entry, _) in found)
+        return [h for h in weighed if h[1] != "fuzzy" or h[3] > 1 or len(h[2].rstrip("*")) >= FUZZY_FROM]
 
     def features(self, text: str | None) -> list[float]:
         total = {"term": 0.0, "stem": 0.0, "fuzzy": 0.0}
         for _, kind, entry, weight in self.hits(text):
-            total[kind] += weight * (self.loose if kind == "fuzzy" else self.odds).get(entry, 0.0)
+            total[kind] += weight * (self.loose if kind == "fuzzy" else self.odds).get(f"{entry}*" if kind == "stem" else entry, 0.0)
         return [1.0, *(min(total[k], 24.0) / 4 for k in ("term", "stem", "fuzzy"))]
 
     def score(self, text: str | None) -> float:
@@ -219,20 +232,27 @@ def mine(rows: Rows, use: list[int], least_odds: float = 6.0, least_docs: int =
         # a stem must add rows to what its commonest word has alone
         if odds(stem[p], stem0[p]) >= least_odds and stem[p] >= 1.5 * top[p] and len(chosen) < most and not any(w.startswith(q) or q.startswith(w) for q in chosen):
             chosen.append(w)
-            weight[w] = math.log(odds(stem[p], stem0[p]))
-    seen = [int(k) for k in np.flatnonzero(term >= least) if length[k] >= 3 and odds(term[k], term0[k]) >= least_odds and not any(vocabulary[k].startswith(q) for q in chosen)]
+            weight[f"{w}*"] = math.log(odds(stem[p], stem0[p]))
+    seen = [int(k) for k in np.flatnonzero(term >= least) if length[k] >= 3 and odds(term[k], term0[k]) >= least_odds and not any(vocabulary[k].startswith(q) and vocabulary[k] != q for q in chosen)]
     seen = sorted(seen, key=lambda k: (-term[k], vocabulary[k]))[:most]
     weight |= {vocabulary[k]: math.log(odds(term[k], term0[k])) for k in seen}
     terms = [vocabulary[k] for k in seen]
-    model = Model(terms, chosen, weight, {}, [0.0] * 4)
+    trie, clean = Trie(terms, chosen), set()
+    rows1 = Counter(dict(zip(terms, (int(term[k]) for k in seen), strict=True))) + Counter({f"{names[p]}*": int(stem[p]) for p in opened if f"{names[p]}*" in weight})
     near: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for i in use:
-        near[int(rows.labels[i])].update({entry for _, kind, entry, _ in model.hits(rows.text(i)) if kind == "fuzzy"})
-    for w in terms:
-        a, b = near[1][w], near[0][w]
-        seen_clean = b > 0 and (a < least or math.log(odds(a, b)) < math.log(least_odds))
-        weak = model.odds[w] < math.log(30)  # a chance entry isn't worth its misspellings
-        model.loose[w] = 0.0 if seen_clean or weak else 0.8 * model.odds[w]
+    for k in np.flatnonzero(term + term0).tolist():
+        m = trie.match(vocabulary[k])
+        if m is None or m[0] != "fuzzy":
+            continue
+        a, b = int(term[k]), int(term0[k])
+        if b and (a < least or odds(a, b) < least_odds):
+            clean.add(vocabulary[k])
+            near[0][m[1]] += b == 1  # without its one row the word would count: so often do clean rows bring new words
+        else:
+            near[1][m[1]] += a
+            near[0][m[1]] += b
+    loose = {e: max(0.0, min(0.8 * v, math.log(odds(near[1][e] + MISSPELLED * rows1[e], near[0][e])))) for e, v in weight.items()}
+    model = Model(terms, chosen, weight, loose, [0.0] * 4, frozenset(clean))
     return model
 
 

@@ -76,3 +76,42 @@ def test_more_distinct_tokens_than_the_memo_holds(monkeypatch):
     m._memo.clear()
     assert [m.hits(t) for t in texts] == want and all(h == [(9, "term", "idiot", 1.0)] for h in want)
     assert len(m._memo) <= 4 + 11
+
+
+def test_automaton_ends_on_short_terms_and_stems():
+    r = random.Random(6)
+    made = sorted({"".join(r.choice("abc") for _ in range(n)) for n in (3, 4, 5, 6, 7, 7, 8, 8)})
+    terms, stems = made[::2], made[1::2]
+    trie = toxicity.Trie(terms, stems)
+    kinds = set()
+    for _ in range(4000):
+        w = "".join(r.choice("abcd") for _ in range(r.randint(2, 10)))
+        if w in terms or any(w.startswith(s) and w != s for s in stems):
+            continue
+        near = sorted(t for t in terms if distance(t, w) == 1)
+        opened = sorted(s for s in stems if any(distance(s, w[:k]) == 1 for k in range(1, len(w))))
+        want = ("fuzzy", near[0], 1) if near else ("fuzzy", f"{opened[0]}*", 1) if opened else None
+        assert trie.match(w) == want, w
+        kinds.add(want and want[1][-1] == "*")
+    assert kinds == {None, True, False}
+
+
+def test_misspellings_of_short_terms_stems_and_terms_with_clean_neighbours():
+    # 'scum' is short, words open with 'vermi', the bare 'vermi' is a term of its own, and clean rows hold 'oron' and 'vermouth'
+    bad = [["scum", "moron", f"vermi{'abcdefgh'[i % 8]}x", "vermi" if i < 20 else f"n{i}"] for i in range(60)]
+    good = [["vermouth", "oron", "text", f"k{i}"] for i in range(600)]
+    rows = toxicity.Rows(bad + good, [1] * 60 + [0] * 600)
+    m = toxicity.mine(rows, list(range(660)))
+    m.weights = [-4.0, 3.0, 3.0, 3.0]
+    assert "vermi" in m.terms and "vermi" in m.stems
+    for w in ("moronn", "mor0n", "morron", "scumm", "skum", "vermmiex", "vrmihx"):
+        assert m.score(f"you are a {w}") > 0.3, w
+    assert [h[1] for h in m.hits("the vermi and vermiax or vrmiax")] == ["term", "stem", "fuzzy"]
+    assert not m.hits("you and oron and vermouth") and not m.hits("the skum here")
+    assert m.score("the morron here") > 0.3 > m.score("you and oron")
+
+
+def test_misspellings_of_weaker_terms_count_by_their_odds():
+    rows = toxicity.Rows([["weakling"] if i < 30 else [f"a{i}"] for i in range(60)] + [["weakling"] if i < 25 else [f"b{i}"] for i in range(600)], [1] * 60 + [0] * 600)
+    m = toxicity.mine(rows, list(range(660)))
+    assert 0 < m.loose["weakling"] < m.odds["weakling"] < 3.4
