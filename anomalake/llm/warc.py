@@ -3,7 +3,8 @@
 The reader works on byte ranges. It takes each record that begins in its range, whatever range it ends in. Where a
 check fails (gzip's CRC, the version line, a header, the length, the payload digest), it looks for the next offset
 at which a whole valid member (or, in plain files, a version line) begins, goes on from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. The range that a gap's preceding sound record begins in logs the whole gap, wherever it
+lies, so records and gaps cover the file once at any width of the ranges.
 """
 
 from __future__ import annotations
@@ -165,15 +166,9 @@ def read_range(f, size: int, start: int, end: int) -> Iterator[tuple[str, int, i
             at += 1
         if at < 0:
             return
-    while at < size and (at < end or bad is not None):
+    while at < size:
         try:
-            if gz:
-                raw, n = _inflate(w, at)
-                fields, used = parse(raw)
-                if used != len(raw):
-                    raise Bad("bytes after the record in its member")
-            else:
-                fields, n = _plain(w, at)
+            fields, n = _record(w, at, gz)
         except Bad as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -184,21 +179,28 @@ def read_range(f, size: int, start: int, end: int) -> Iterator[tuple[str, int, i
         if bad is not None:
             yield "gap", bad, at, why
             bad = None
-            if at >= end:
-                return  # the next range finds this record itself
+        if at >= end:
+            return  # the next range finds this record itself
         yield "record", at, at + n, fields
         at += n
     if bad is not None:
         yield "gap", bad, at, why
 
 
+def _record(w: Window, at: int, gz: bool) -> tuple[dict, int]:
+    """(fields, bytes of the file) of the record at ``at``; Bad if a check fails."""
+    if not gz:
+        return _plain(w, at)
+    raw, n = _inflate(w, at)
+    fields, used = parse(raw)
+    if used != len(raw):
+        raise Bad("bytes after the record in its member")
+    return fields, n
+
+
 def _valid(w: Window, at: int, gz: bool) -> bool:
     try:
-        if gz:
-            raw, _ = _inflate(w, at)
-            parse(raw)
-        else:
-            _plain(w, at)
+        _record(w, at, gz)
     except Bad:
         return False
     return True

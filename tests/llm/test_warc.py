@@ -83,3 +83,24 @@ def test_query_equals_its_sql(spark):
     cur = con.execute(ORACLE["op6_warc"])
     names = [c[0] for c in cur.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall()) and set(got.columns) == set(names)
+
+
+def test_gaps_are_logged_once_for_any_range_width():
+    plain = [warc.record(i, None, bytes([65 + i]) * 500 + os.urandom(200), None) for i in range(8)]
+    for recs in ([warc.member(r) for r in plain], plain):
+        hurt = [bytearray(r) for r in recs]
+        for i in (2, 5):
+            hurt[i][len(hurt[i]) // 2] ^= 255
+        if recs is not plain:
+            hurt[3] = warc.member(plain[3] + b"more")  # a sound member with bytes after its record
+        raw = b"".join([*hurt[:7], hurt[7][:-30]])
+        at = [0]
+        for r in hurt:
+            at.append(at[-1] + len(r))
+        for start in (0, at[2], at[5], at[7]):  # also files that begin or end with damage
+            part = raw[start:]
+            want = sorted((k, a, b) for k, a, b, _ in scan(part, len(part)))
+            ends = sorted(b for *_, b in want)
+            assert sorted(a for _, a, _ in want) == [0, *ends[:-1]] and ends[-1] == len(part) and any(k == "gap" for k, *_ in want)
+            for width in (64, 97, 300, 700, at[2], at[3], at[5], at[7]):
+                assert sorted((k, a, b) for k, a, b, _ in scan(part, width)) == want, (start, width)
