@@ -208,19 +208,35 @@ def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, key: str
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, text: str = "text") -> DataFrame:
-    """The rows that hold no item, with their columns as they are; null texts stay."""
-    n = benchmark.filter(F.col(text).isNotNull()).count()
-    if n > ITEMS:
-        bad = find(docs.filter("doc_id is not null"), benchmark, tolerance).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
-    rows = benchmark.select("item_id", text).filter(F.col(text).isNotNull() & F.col("item_id").isNotNull()).collect()
-    index = Index([(r[0], r[1]) for r in rows], tolerance)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, text, 4 << 20):
-                bad = {t for t, *_ in index.matches(b.column(b.schema.get_field_index(text)).to_pylist())}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, text: str = "text", block: int = ITEMS) -> DataFrame:
+    """The rows that hold no item, with their columns as they are; null texts stay.
+
+    Every distinct text of the benchmark is an item, whatever its id, and a row is judged by its text alone. Items
+    go with the tasks ``block`` at a time; a larger benchmark marks the texts that hold an item in several passes.
+    """
+    items = benchmark.select(F.col(f"`{text}`").alias("t")).filter("t is not null").distinct()
+    passes = max(1, -(-items.count() // block))
+
+    def index_of(p: int) -> Index:
+        own = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).orderBy("t").collect()
+        return Index([(i, r.t) for i, r in enumerate(own)], tolerance)
+
+    def holding(rows: DataFrame, index: Index, bad: bool) -> DataFrame:
+        """The rows that hold an item of the index, or those that don't."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, text, 4 << 20):
+                    found = {t for t, *_ in index.matches(b.column(b.schema.get_field_index(text)).to_pylist())}
+                    yield b.filter(pa.array([(i in found) == bad for i in range(b.num_rows)], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    if passes == 1:
+        return holding(docs, index_of(0), False)
+    digest = F.sha2(F.col(f"`{text}`").cast("binary"), 256).alias("_text_sha256")
+    texts, gone = docs.select(F.col(f"`{text}`")), None
+    for p in range(passes):
+        part = holding(texts, index_of(p), True).select(digest)
+        gone = part if gone is None else gone.unionByName(part)
+    return docs.withColumn("_text_sha256", digest).join(gone.distinct(), "_text_sha256", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

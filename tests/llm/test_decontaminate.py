@@ -55,3 +55,24 @@ def test_nulls_blocks_and_empty_tables(spark):
         assert got == [(0, 7, 0, 0), (1, 7, 0, 1), (3, 10, 0, 1)]
     assert sorted(r.item_id for r in dc.clean(docs, items).collect()) == ["c", "d"]
     assert dc.find(docs.limit(0), items).count() == 0 and dc.find(docs, items.limit(0)).count() == 0
+
+
+def test_clean_judges_each_row_by_its_text_at_any_block_size(spark):
+    rows = [
+        (None, "well the quick brown fox jumps over a dog", "bad: null id"),
+        (1, "one two three four five six seven", "bad: first passage of an id"),
+        (1, "a plain text", "good: shares its id with a bad row"),
+        (2, "red green blue white black grey pink", "bad: second passage of an id"),
+        (2, "red green blue white black grey pink", "bad: repeated row"),
+        (3, "north south east west up down left", "bad: item without an id"),
+        (None, "another plain text", "good: null id"),
+        (4, None, "good: null text"),
+        (5, "", "good: empty text"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, what string")
+    items = spark.createDataFrame([(7, "the quick brown fox jumps over a dog"), (8, "one two three four five six seven"), (8, "red green blue white black grey pink"), (None, "north south east west up down left"), (9, None), (10, "")], "item_id long, text string")
+    want = sorted((r for r in rows if r[2].startswith("good")), key=lambda r: r[2])
+    for block in (1, 2, 100):
+        got = dc.clean(docs, items, block=block)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want, block
+    assert dc.clean(docs, items.limit(0), block=1).count() == len(rows) and dc.clean(docs.limit(0), items, block=1).count() == 0
