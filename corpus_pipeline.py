@@ -28,14 +28,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Rows of one id are one document, of which one row stays."""
-    found = minhash.duplicates(docs, Workspace(spark, "dedup"), size=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of linked texts: that with the smallest id, of an id's several texts the smallest.
+
+    Rows that share an id and a text are one document, of which one row stays; rows without an id stay.
+    """
+    ws = Workspace(spark, "dedup")
+    rows, key = docs, "doc_id"
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+        rows, key = ws.table(number_rows(docs), "rows"), "_row"  # written once, so the numbers hold
+    found = minhash.duplicates(rows, ws, size=5, percent=80, key=key)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    n = gone.count()
+    return rows.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key, "left_anti").select(*docs.columns)
+
+
+def number_rows(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, _row, in the order of ids and texts; one row of those with equal ids and texts, and null numbers for null ids."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    known = docs.filter("doc_id is not null")
+    if rest:
+        known = known.groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_rest")).select("doc_id", "text", "_rest.*")
+    else:
+        known = known.distinct()
+    known = known.orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    return known.unionByName(docs.filter("doc_id is null").withColumn("_row", F.lit(None).cast("long")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_stages_on_nulls_repeats_and_extra_columns(spark, empty):
         df = out
     got = sorted((r.doc_id or 0, r.text) for r in df.collect())
     assert got == ([] if empty else [(0, None), (1, "Some words of a text to keep, [EMAIL]"), (2, "")])
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, "x"), (5, b, "y"), (3, f"{a} more", "z"), (5, b, "v"), (4, c, "u"), (4, "", "t"), (4, "", "s"), (6, f"{c} more", "r"), (None, c, "q"), (7, None, "p"), (7, None, "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, what string")
+    for x in (df, df.repartition(5), df.select("text", "what", "doc_id").coalesce(1)):
+        got = cp.drop_near_duplicates(spark, x, D)
+        assert got.columns == x.columns
+        # 5's text a goes with 3, 6 with 4; 5's text b is nobody else's
+        assert sorted(r.what for r in got.collect()) == ["o", "q", "s", "u", "v", "z"]
