@@ -1,22 +1,25 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes hits a pattern, so documents that share a passage share its
-chunks whatever stands before it. A chunk is encoded once and kept as (head, ids of its whole words, tail): the
-pre-tokenizer never crosses white space, so the ids between a chunk's first and last white space hold in any
-context, and only head and tail depend on the neighbours. A join of chunks is repaired by re-encoding the text
-from the left tail to the right head; where a chunk has no white space the window grows into the next one, until
-both its ends lie on white space, where separate and joint encodings agree exactly.
+chunks whatever stands before it. A chunk is encoded once, from its first white space to its last, and kept with the
+parts of words at its ends. Each join of two chunks is then repaired: the word across it is encoded by itself and
+again between the neighbouring words of both chunks, and the join holds only where both encodings, and the ids at
+the chunks' ends, agree exactly. Where they don't, the window grows to the whole text.
 
-Memory is bounded: chunks and words are kept in two maps per Python worker that are emptied at a stated size.
+Memory is bounded in bytes: a task keeps the chunks used last, up to ``CHUNK_BYTES``, and the map goes with the task.
 There is no shuffle: each input partition is encoded where it is read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import unicodedata
-from collections.abc import Iterator
+import re
+import struct
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 256 bytes on average.
-CUT_BITS = 8
-#: Entries after which a worker's map of chunks, or of words, is emptied.
-MAX_CHUNKS, MAX_WORDS = 40_000, 700_000
+#: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 512 bytes on average.
+CUT_BITS = 9
+#: Bytes of chunks that a task keeps, and characters given to the library at a time.
+CHUNK_BYTES, BATCH = 16 << 20, 1 << 17
+#: Bytes of text that are encoded, and go back to Spark, at a time.
+SLICE = 1 << 20
 #: Characters that Python counts as white space but the tokenizer's pattern doesn't.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+SPACE = re.compile(r"\s")
 
 
 def cut_points(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
@@ -47,29 +53,61 @@ def cut_points(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     return at[data[at] & 0xC0 != 0x80]
 
 
-#: Marks that may follow a word and that the pre-tokenizer puts in a token of their own.
-MARKS = ".,;:!?%$#&*()[]\"/|-"
+@dataclass(slots=True)
+class Chunk:
+    """What a chunk gives wherever it stands: ids of its whole words, and the parts of words at its ends."""
 
+    head: str  # up to the first white space
+    tail: str  # after the last one
+    spaced: bool  # whether there is any
+    ids: bytes
+    first: str  # the whole words at the ends, and their ids
+    last: str
+    first_ids: bytes
+    last_ids: bytes
 
-def pieces(word: str) -> tuple[str, ...]:
-    """A word as its lower-cased letters and its trailing marks, where these are surely encoded apart; else as it is."""
-    core = word.rstrip(MARKS)
-    if core and core.isalpha() and "\u03a3" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-        return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-    return (word,)
+
+def parted(text: str) -> tuple[str, str, str, bool]:
+    """(head, what stands between the first and the last white space, tail, whether there is white space)."""
+    m = SPACE.search(text)
+    if not m:
+        return text, "", "", False
+    tail = "" if text[-1].isspace() else text.rsplit(None, 1)[-1]
+    return text[: m.start()], text[m.start() : len(text) - len(tail)], tail, True
+
+
+class Chunks:
+    """Chunks by their bytes; those used longest ago go first."""
+
+    def __init__(self, most: int = CHUNK_BYTES):
+        self.most, self.held, self._map = most, 0, OrderedDict()
+
+    def get(self, raw: bytes) -> Chunk | None:
+        got = self._map.get(raw)
+        if got is not None:
+            self._map.move_to_end(raw)
+        return got
+
+    def put(self, raw: bytes, chunk: Chunk) -> None:
+        self._map[raw] = chunk
+        self.held += self._size(raw, chunk)
+        while self.held > self.most:
+            self.held -= self._size(*self._map.popitem(last=False))
+
+    @staticmethod
+    def _size(raw: bytes, chunk: Chunk) -> int:
+        return 800 + len(raw) + len(chunk.ids) + len(chunk.first_ids) + len(chunk.last_ids)  # with about 800 bytes of objects
 
 
 class ChunkEncoder:
     """Encodes and decodes as tokenizers' encode(add_special_tokens=False) and decode(skip_special_tokens=False) do.
 
-    Holds for tokenizers that split on white space before merging, lower-case and have no decoder, which ``exact`` checks;
-    for others it passes whole texts to the library.
+    Chunks are used for tokenizers that split on white space before merging, lower-case and have no decoder, which
+    ``exact`` checks; for others whole texts go to the library.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -87,80 +125,98 @@ class ChunkEncoder:
         self.names = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.names[i] = token
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[bytes, tuple[str, bytes, str, bool]] = {}
-        self.reused = self.encoded = 0
-
-    def _words(self, parts: list[str]) -> bytes:
-        """Ids of words between white space, each encoded once."""
-        known = self.words
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        split = {w: pieces(w) for w in new}
-        self._pieces([p for ps in split.values() for p in ps])
-        done = self.pieces
-        for w, ps in split.items():
-            known[w] = done[ps[0]] if len(ps) == 1 else b"".join([done[p] for p in ps])
-        return b"".join([known[w] for w in parts])
-
-    def _pieces(self, parts: list[str]) -> None:
-        known = self.pieces
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        if new:
-            for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.asarray(e.ids, "<u4").tobytes()
-
-    def _chunk(self, raw: bytes) -> tuple[str, bytes, str, bool]:
-        """(head, ids of the words that stand between white space, tail, whether there is white space)."""
-        got = self.chunks.get(raw)
-        if got is None:
-            text = raw.decode("utf-8", "surrogatepass")
-            parts = text.split()
-            if not parts:
-                got = ("", b"", "", bool(text))
+        self.reused = self.encoded = self.repaired = self.whole = 0
+
+    def _library(self, strings: Iterable[str]) -> dict[str, bytes]:
+        """The library's ids of each distinct string, some at a time as its encodings are large."""
+        out: dict[str, bytes] = {}
+        held: list[str] = []
+        size = 0
+
+        def give() -> None:
+            for s, e in zip(held, self.lib.encode_batch_fast(held, add_special_tokens=False), strict=True):
+                ids = e.ids
+                out[s] = struct.pack(f"<{len(ids)}I", *ids)
+
+        for s in dict.fromkeys(strings):
+            held.append(s)
+            size += len(s) + 16
+            if size >= BATCH:
+                give()
+                held, size = [], 0
+        if held:
+            give()
+        return out
+
+    def _chunks(self, wanted: list[bytes], known: Chunks) -> dict[bytes, Chunk]:
+        """The chunk of each of the byte strings; the new ones are encoded together."""
+        out: dict[bytes, Chunk] = {}
+        new: dict[bytes, tuple] = {}
+        for raw in wanted:
+            if raw in out or raw in new:
+                self.reused += 1
+            elif (got := known.get(raw)) is not None:
+                out[raw] = got
+                self.reused += 1
             else:
-                head = "" if text[0].isspace() else parts.pop(0)
-                if len(head) == len(text):
-                    got = (head, b"", "", False)
-                else:
-                    tail = "" if text[-1].isspace() or not parts else parts.pop()
-                    got = (head, self._words(parts), tail, True)
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            self.chunks[raw] = got
-            self.encoded += 1
-        else:
-            self.reused += 1
-        return got
+                head, inner, tail, spaced = parted(raw.decode("utf-8", "surrogatepass"))
+                words = inner.split()
+                new[raw] = head, inner, tail, spaced, words[0] if words else "", words[-1] if words else ""
+                self.encoded += 1
+        ids = self._library(s for _, inner, _, _, first, last in new.values() for s in (inner, first, last) if s)
+        ids[""] = b""
+        for raw, (head, inner, tail, spaced, first, last) in new.items():
+            out[raw] = Chunk(head, tail, spaced, ids[inner], first, last, ids[first], ids[last])
+            known.put(raw, out[raw])
+        return out
+
+    def encode_all(self, texts: list[str], known: Chunks) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        cut: list[list[bytes] | None] = []
+        for text in texts:
+            if not self.exact or ODD_SPACE.search(text):
+                cut.append(None)
+                continue
+            raw = f" {text} ".encode("utf-8", "surrogatepass")  # so that the words at the text's ends are whole
+            at = cut_points(np.frombuffer(raw, np.uint8)).tolist()
+            cut.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)])
+        chunk = self._chunks([raw for parts in cut if parts for raw in parts], known)
+        joins: list[list[tuple[Chunk | None, str, str, Chunk]] | None] = []
+        for parts in cut:
+            if parts is None:
+                joins.append(None)
+                continue
+            own, left, window = [], None, ""
+            for c in (chunk[raw] for raw in parts):
+                window += c.head
+                if c.spaced:
+                    around = " ".join(x for x in (left.last if left else "", window, c.first) if x)
+                    own.append((left, window, around, c))
+                    left, window = c, c.tail
+            joins.append(own)
+        ids = self._library(s for own in joins if own for left, window, around, _ in own if left for s in (window, around) if s)
+        ids[""] = b""
+        out = []
+        for text, own in zip(texts, joins, strict=True):
+            found = [] if own is not None else None
+            for left, window, around, c in own or ():
+                if left is not None:
+                    self.repaired += 1
+                    if ids[around] != left.last_ids + ids[window] + c.first_ids or not left.ids.endswith(left.last_ids) or not c.ids.startswith(c.first_ids):
+                        found = None
+                        break
+                    found.append(ids[window])
+                found.append(c.ids)
+            if found is None:
+                self.whole += 1
+                out.append(self._library([text])[text])
+            else:
+                out.append(b"".join(found))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.exact or any(c in text for c in ODD_SPACE):
-            return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        raw = text.encode("utf-8", "surrogatepass")
-        at = cut_points(np.frombuffer(raw, np.uint8)).tolist()
-        out, window = [], ""
-        for a, b in zip([0, *at], [*at, len(raw)], strict=True):
-            head, ids, tail, spaced = self._chunk(raw[a:b])
-            window += head
-            if spaced:  # the window ends on white space: what it holds is final
-                if window:
-                    out.append(self._words([window]))
-                out.append(ids)
-                window = tail
-        if window:
-            out.append(self._words([window]))
-        return b"".join(out)
+        """One text's ids."""
+        return self.encode_all([text], Chunks())[0]
 
     def decode(self, ids: bytes) -> str:
         names = self.names
@@ -173,7 +229,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file: the vocabulary alone outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
@@ -191,10 +247,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
         schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, known = encoder(vocabulary), Chunks()
         for batch in batches:
-            for b in slices(batch, text):
-                got = [enc.encode(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            for b in slices(batch, text, SLICE):
+                got = enc.encode_all([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()], known)
                 ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
                 cols = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))]
                 if decoded:
@@ -204,7 +260,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text, one row at least, to bound memory."""
     import pyarrow.compute as pc
 
@@ -221,10 +277,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, through the same encoder; only these leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, known = encoder(vocabulary), Chunks()
         for batch in batches:
-            for b in slices(batch, "text"):
-                got = [enc.encode(t or "") for t in b.column(1).to_pylist()]
+            for b in slices(batch, "text", SLICE):
+                got = enc.encode_all([t or "" for t in b.column(1).to_pylist()], known)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),

@@ -31,7 +31,8 @@ IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 REPEATS, SAMPLED = 40, 3
 #: Items that go with the tasks in one pass; a larger benchmark takes a pass over the documents for each such block.
 ITEMS = 20_000
-FILTER_BITS = 22
+#: A filter has 64 places for each q-gram, up to this many bits of hash; and bytes of text that are matched at a time.
+FILTER_BITS, SLICE = 22, 1 << 19
 
 
 def word_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +66,7 @@ class Group:
     need: int  # q-grams of the items that a window with a match has at least
     span: int  # its longest possible match, in words
     steps: int
+    shift: int  # of a q-gram's hash, to its place in the filter
     table: np.ndarray  # filter
     keys: list[tuple[np.ndarray, np.ndarray]]  # per repetition: sorted keys, items
 
@@ -125,9 +127,10 @@ class Index:
         self.groups = []
         for (q, _), ids in sorted(by.items()):
             size = [len(self.words[i]) for i in ids]
-            table = np.zeros(1 << FILTER_BITS, bool)
+            bits = min(FILTER_BITS, 6 + sum(size).bit_length())
+            table = np.zeros(1 << bits, bool)
             for i in ids:
-                table[grams(self.words[i], q) >> _U(64 - FILTER_BITS)] = True
+                table[grams(self.words[i], q) >> _U(64 - bits)] = True
             steps = max(1, int(1.5 * min(size)))
             all_words = np.concatenate([self.words[i] for i in ids])
             ends = np.cumsum(size)
@@ -137,7 +140,7 @@ class Index:
                 order = np.argsort(k, kind="stable")
                 keys.append((k[order], np.array(ids)[order]))
             need = min(max(1, n - q + 1 - q * allowed(n, tolerance)) for n in size)
-            self.groups.append(Group(q, need, max(n + allowed(n, tolerance) for n in size), steps, table, keys))
+            self.groups.append(Group(q, need, max(n + allowed(n, tolerance) for n in size), steps, 64 - bits, table, keys))
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text's number, item, distance, first and last word's place in the text): the nearest window for each text and item."""
@@ -149,8 +152,8 @@ class Index:
         hashed: dict[int, np.ndarray] = {}
         for g in self.groups:
             if g.q not in hashed:
-                hashed[g.q] = grams(w, g.q) >> _U(64 - FILTER_BITS)
-            hit = np.concatenate([g.table[hashed[g.q]], np.zeros(g.q - 1 if len(w) >= g.q else len(w), bool)])
+                hashed[g.q] = grams(w, g.q)
+            hit = np.concatenate([g.table[hashed[g.q] >> _U(g.shift)], np.zeros(g.q - 1 if len(w) >= g.q else len(w), bool)])
             total = np.concatenate([[0], np.cumsum(hit)])
             n = len(w)
             ahead = total[np.minimum(np.arange(n) + max(1, g.span - g.q + 1), n)] - total[:n]
@@ -196,7 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, key: str
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in slices(batch, "text", 4 << 20):
+                for b in slices(batch, "text", SLICE):
                     ids = b.column(0).to_pylist()
                     got = index.matches(b.column(1).to_pylist())
                     if got:
@@ -226,7 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, text: s
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in slices(batch, text, 4 << 20):
+                for b in slices(batch, text, SLICE):
                     found = {t for t, *_ in index.matches(b.column(b.schema.get_field_index(text)).to_pylist())}
                     yield b.filter(pa.array([(i in found) == bad for i in range(b.num_rows)], pa.bool_()))
 

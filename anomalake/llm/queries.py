@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anomalake.llm import bpe, decontaminate, html, langid, media, minhash, pii, suffix, toxicity, warc
 from anomalake.llm.store import Workspace, read_documents
 
-#: Where the public tokenizers' vocabulary files are; a parameter of every operator that uses one.
-TOKENIZERS = "/opt/tokenizers"
+#: The public vocabulary file of the contract's encoding; a parameter of every operator that uses one.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read_documents(spark, sf_dir), VOCABULARY)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

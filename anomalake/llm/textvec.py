@@ -27,14 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64; kept up to 2**19 of them (4 MB), and grown by doubling."""
     have = _powers.get(base)
     if have is None:
         have = np.ones(1, np.uint64)
     while len(have) < n:
         step = _U(pow(base, len(have), 1 << 64))
         have = np.concatenate([have, have * step])
-    if len(have) <= 1 << 22:
+    if len(have) <= 1 << 19:
         _powers[base] = have
     return have[:n]
 

@@ -2,13 +2,14 @@ import hashlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from anomalake.llm import bpe
-from anomalake.llm.queries import TOKENIZERS, op4_bpe
+from anomalake.llm.queries import VOCABULARY as PATH
+from anomalake.llm.queries import op4_bpe
 
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
 ODD = [
     "", " ", "a", "  two  words ", "ǅ É́é ſ İI ΑΣ ς", "x\x1cy z", "<|endoftext|>hi <|startoftext|> <|EndOfText|> a<|endoftext|>b", "don't WE'LL 're 12345",
     "日本語 テスト　한국́ ", "a" * 5000, "  x​y\u0085z", "🎉👩‍👩‍👧 test'S", "a ́b", "word,%%% (x) x|y| -- A.B.", "é" * 900, "same " * 700,
@@ -31,12 +32,40 @@ def test_equals_library_on_odd_texts(lib):
 
 
 def test_shared_chunks_are_encoded_once(lib):
-    text = " ".join(f"w{i * 7919 % 9973}" for i in range(4000))
-    enc = bpe.ChunkEncoder(PATH)
-    enc.encode(text)
+    text = " ".join(f"w{i * 7919 % 9973}" for i in range(8000))
+    enc, known = bpe.ChunkEncoder(PATH), bpe.Chunks()
+    enc.encode_all([text], known)
     first = enc.encoded
-    enc.encode("another start " + text)
-    assert enc.encoded - first < first / 4 and enc.reused > first / 2
+    enc.encode_all(["another start " + text], known)
+    assert enc.encoded - first < first / 4 and enc.reused > first / 2 and not enc.whole
+
+
+def test_the_map_of_chunks_is_bounded_and_changes_nothing(lib):
+    texts = [" ".join(f"w{i * k % 997}" for i in range(900)) for k in range(1, 12)] * 2
+    enc, known = bpe.ChunkEncoder(PATH), bpe.Chunks(20_000)
+    for t in texts:
+        assert enc.encode_all([t], known) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert known.held <= 20_000
+
+
+def test_a_join_that_disagrees_takes_the_whole_text(lib, monkeypatch):
+    enc, text = bpe.ChunkEncoder(PATH), " ".join(f"word{i}" for i in range(900))
+    library = enc._library
+    monkeypatch.setattr(enc, "_library", lambda strings: {s: x[:-4] if s.count(" ") == 2 else x for s, x in library(strings).items()})
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and enc.whole == 1
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, lib = bpe.ChunkEncoder(path), Tokenizer.from_file(path)
+    for t in ODD:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids and enc.decode(enc.encode(t)) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_very_long_texts(lib):
+    for t in ("x" * 300_000, "one two " * 60_000):
+        assert np.frombuffer(bpe.ChunkEncoder(PATH).encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_query_equals_library_on_whole_table(spark, lib):

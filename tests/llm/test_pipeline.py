@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as cp
 from anomalake.llm import decontaminate as dc
 from anomalake.llm import pii
-from anomalake.llm.queries import TOKENIZERS, op9_toxicity
+from anomalake.llm.queries import VOCABULARY, op9_toxicity
 from tests.llm.test_minhash import brute
 
 D = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def test_run_against_brute_force(spark):
             del docs[d]
     got = {r.doc_id: r for r in cp.run(spark, D).collect()}
     assert set(got) == set(docs)
-    lib = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    lib = Tokenizer.from_file(VOCABULARY)
     plain = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     spans = {r.doc_id: r.pii.spans for r in pii.detect(plain, pii.fit(spark)).select("doc_id", "pii").collect()}
     for d, text in docs.items():
