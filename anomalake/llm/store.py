@@ -3,6 +3,8 @@
 A :class:`Workspace` is a folder of its own below ``spark.checkpoint.dir`` (read from the session; only where it
 is unset, as in tests, a folder below /tmp/checkpoints is used and set). Tables written here survive the loss of
 executors, unlike blocks kept by ``localCheckpoint``. The folder goes when the Python process ends or on ``close()``.
+
+Rows that go to Python travel in batches of at most ``ARROW_BYTES``: a batch is held several times over by both sides.
 """
 
 from __future__ import annotations
@@ -10,22 +12,39 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: weakref.WeakSet = weakref.WeakSet()
+#: Bytes of an Arrow batch, where the session leaves Spark's default of 64 MB.
+ARROW_BYTES = 4 << 20
+_OPEN: dict[str, Workspace] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a default of our own where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, of ``setCheckpointDir``.
+
+    Where neither is set, one below /tmp on a local master (one host, as in tests), and an error on a cluster, whose
+    hosts don't see each other's folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = os.path.dirname(held.get()) if held.isDefined() else "file:/tmp/checkpoints"
+        if held.isDefined():
+            path = os.path.dirname(held.get())
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            path = "file:/tmp/checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts of the cluster share")
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ``ARROW_BYTES``, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 class Workspace:
     """A run's own folder in the shared store."""
 
@@ -33,7 +52,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/anomalake-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        _OPEN.add(self)
+        _OPEN[self.root] = self  # held until it is closed, so that the folder goes also where the caller forgets it
+        bounded_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -54,11 +74,12 @@ class Workspace:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def close(self) -> None:
+        _OPEN.pop(self.root, None)
         self.delete(self.root)
 
 
 def _sweep() -> None:
-    for w in list(_OPEN):
+    for w in list(_OPEN.values()):
         try:
             w.close()
         except Exception:  # noqa: BLE001  the session may already be gone; its shared folder is then cleared by its owner
@@ -80,4 +101,5 @@ def filesystem(path: str):
 
 
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -32,7 +32,7 @@ MISSPELLED = 0.3
 #: Words on each side of a hit that its weight depends on.
 WINDOW = 6
 #: Tokens whose matches a task keeps; beyond, it starts anew with the next text.
-MEMO = 600_000
+MEMO = 250_000
 # Words that report speech, and words that address someone.
 REPORTS = frozenset("said says say wrote writes called calls quote quoted quoting told asked claimed dit disait sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your youre u ur tu vous te toi du dich ihr sie usted ustedes".split())

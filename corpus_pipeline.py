@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from anomalake.llm import bpe, decontaminate, langid, minhash, pii, toxicity
 from anomalake.llm.queries import VOCABULARY
-from anomalake.llm.store import Workspace, read_documents
+from anomalake.llm.store import Workspace, bounded_batches, read_documents
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.3
@@ -67,6 +67,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the ids of their text, their number, and the text that they decode to."""
+    bounded_batches(spark)
     out = bpe.encode(docs, VOCABULARY, decoded="decoded")
     return out.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
