@@ -7,9 +7,12 @@ anchors at the same place, and an anchor that occurs once in the corpus needs no
 repeat, the bytes around them, the strings they are the anchor of, are grouped by anchor. Each group's suffix array
 is built by the difference-cover algorithm (the triples at two of three places are sorted and named, names that
 repeat are sorted by recursion, the remaining suffixes are merged in), and neighbours in it whose ``length``-byte
-prefixes agree mark each other. Pieces that are equal as a whole mark each other before any sorting. A
-batch too large for an array in memory is ordered by its strings' hashes, and an anchor with more occurrences than a
-group holds is dealt out again by those hashes, with partial counts before the shuffle.
+prefixes agree, byte by byte, mark each other. Pieces that are equal as a whole mark each other before any sorting.
+
+An anchor with more occurrences than a group holds is hot. Its equal pieces are counted first, with partial counts
+before the shuffle; where more distinct ones are left than a group holds, the strings are dealt out again by more
+of what equal ones have in common: those whose anchor stands at nearly the same place share the bytes around it.
+Classes get narrower level by level, down to single strings, and every level sorts its groups in the same way.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from anomalake.llm.bpe import slices
 from anomalake.llm.store import Workspace
 
 _U = np.uint64
-#: Bytes of an anchor's k-gram; occurrences of an anchor up to which it is one group; bytes sorted at a time.
-GRAM, HOT, CHUNK = 48, 60_000, 2 << 20
-#: Bytes of a batch's distinct pieces up to which a suffix array is built (about 100 bytes of memory each); beyond, strings are told by hash.
-ARRAY = 6 << 20
+#: Bytes of an anchor's k-gram; pieces of an anchor up to which it is one group; bytes sorted at a time.
+GRAM, HOT, CHUNK = 48, 2000, 1 << 19
+#: Places of the anchor that a hot anchor's strings have in common, level by level; the last is one string.
+WIDTHS = (77, 20, 1)
+#: Hot keys, and rows of their flagged pieces, up to which they are broadcast (8 and some 400 bytes each); parts that a hot key is salted into beyond.
+BROADCAST_KEYS, BROADCAST_PIECES, SALT = 200_000, 10_000, 16
 #: Rows up to which the spans found are broadcast to the documents (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_SPANS = 1_000_000
 
@@ -151,20 +156,29 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, count: np.ndarray, grou
     """
     which = np.repeat(np.arange(len(begin)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-    prefix = textvec.prefix_hash(data)
-    if len(data) <= ARRAY:
-        valid = np.full(len(data), -1, np.int64)
-        valid[start] = np.arange(len(start))
-        order = valid[suffix_array(data.astype(np.int64))]
-        order = order[order >= 0]
-    else:
-        order = np.argsort(textvec.span_hash(prefix, start, start + length), kind="stable")
+    valid = np.full(len(data), -1, np.int64)
+    valid[start] = np.arange(len(start))
+    order = valid[suffix_array(data.astype(np.int64))]
+    order = order[order >= 0]
     at = start[order]
+    # neighbours of one group: a hash of their prefixes says which to compare
+    prefix = textvec.prefix_hash(data)
     h = textvec.span_hash(prefix, at, at + length)
-    same = (h[1:] == h[:-1]) & (group[which[order[1:]]] == group[which[order[:-1]]])
+    near = np.flatnonzero((h[1:] == h[:-1]) & (group[which[order[1:]]] == group[which[order[:-1]]]))
+    near = near[equal(data, at[near], at[near + 1], length)]
     out = np.zeros(len(start), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[order[near + 1]] = True
+    out[order[near]] = True
+    return out
+
+
+def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from a are those from b, place by place."""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        view = np.lib.stride_tricks.sliding_window_view(data, length)
+        for i in range(0, len(a), 8192):
+            out[i : i + 8192] = (view[a[i : i + 8192]] == view[b[i : i + 8192]]).all(1)
     return out
 
 
@@ -179,36 +193,25 @@ def runs(flag: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) ->
     return o[new], s[new], s[last] + length
 
 
-def _sorted_groups(length: int):
-    """Takes pieces (h, id, first, piece) sorted by h; yields the spans (id, a, b) that repeat within whole groups of one h."""
+def _flags(pieces: list[tuple[int, bytes]], times: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """The spans of each distinct piece (group, bytes) that repeat, where it occurs ``times`` times in its group."""
+    group = np.array([h for h, _ in pieces], np.int64)
+    _, at, size = np.unique(group, return_inverse=True, return_counts=True)
+    out = [[(0, len(p))] if n > 1 else [] for (_, p), n in zip(pieces, times.tolist(), strict=True)]  # equal pieces repeat as a whole
+    todo = np.flatnonzero(size[at] > 1)
+    if len(todo):
+        n = np.array([len(pieces[i][1]) for i in todo], np.int64)
+        count = n - length + 1
+        flag = repeated_starts(np.frombuffer(b"".join(pieces[i][1] for i in todo), np.uint8), np.cumsum(n) - n, count, group[todo], length)
+        for i, f in zip(todo.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
+            if not out[i]:
+                _, a, b = runs(f, np.zeros(len(f), np.int8), np.arange(len(f)), length)
+                out[i] = list(zip(a.tolist(), b.tolist(), strict=True))
+    return out
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        # equal pieces of a group repeat as a whole: one of them is sorted, and only against others
-        which: dict[tuple[int, bytes], int] = {}
-        of = [which.setdefault((r[0], r[3]), len(which)) for r in rows]
-        pieces = list(which)
-        times = np.bincount(of, minlength=len(pieces))
-        group = np.array([h for h, _ in pieces], np.int64)
-        others = np.unique(group, return_inverse=True, return_counts=True)
-        todo = np.flatnonzero(others[2][others[1]] > 1)
-        flags: list[np.ndarray | None] = [None] * len(pieces)
-        if len(todo):
-            size = np.array([len(pieces[i][1]) for i in todo], np.int64)
-            data = np.frombuffer(b"".join(pieces[i][1] for i in todo), np.uint8)
-            count = size - length + 1
-            flag = repeated_starts(data, np.cumsum(size) - size, count, group[todo], length)
-            for i, f in zip(todo.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
-                flags[i] = f
-        ids, first, last = [], [], []
-        for row, i in zip(rows, of, strict=True):
-            if times[i] > 1:
-                ids.append(row[1]), first.append(row[2]), last.append(row[2] + len(row[3]))
-            elif flags[i] is not None:
-                _, a, b = runs(flags[i], np.zeros(len(flags[i]), np.int8), np.arange(len(flags[i])) + row[2], length)
-                ids += [row[1]] * len(a)
-                first += a.tolist()
-                last += b.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["id", "a", "b"])
+
+def _by_group(solve):
+    """Hands rows (h first, piece last) sorted by h to solve, whole groups at a time of about CHUNK bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -220,61 +223,123 @@ def _sorted_groups(length: int):
                     held, size = [], 0
                 key = row[0]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield solve(held)
 
     return run
 
 
+def _sorted_groups(length: int):
+    """Takes pieces (h, id, first, piece) sorted by h; yields the spans (id, a, b) that repeat within whole groups of one h."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        which: dict[tuple[int, bytes], int] = {}
+        of = [which.setdefault((r[0], r[3]), len(which)) for r in rows]
+        spans = _flags(list(which), np.bincount(of, minlength=len(which)), length)
+        out = [(row[1], row[2] + a, row[2] + b) for row, i in zip(rows, of, strict=True) for a, b in spans[i]]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "a", "b"])
+
+    return _by_group(solve)
+
+
+def _counted_groups(length: int):
+    """Takes distinct pieces (h, n, piece) sorted by h; yields those with spans that repeat, as two arrays of places."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        spans = _flags([(r[0], r[2]) for r in rows], np.array([r[1] for r in rows]), length)
+        out = [(r[0], r[2], [a for a, _ in x], [b for _, b in x]) for r, x in zip(rows, spans, strict=True) if x]
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["h", "piece", "a", "b"])
+
+    return _by_group(solve)
+
+
 def repeated_spans(docs: DataFrame, ws: Workspace, length: int) -> DataFrame:
     """(id, a, b): spans that cover exactly the bytes of every string that starts more than once; spans may overlap."""
     found = ws.table(find_anchors(docs, length), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    some = found.join(often, "h").select("h", "id", "first", "last", (F.col("n") > HOT).alias("hot"))
-    by_doc = some.groupBy("id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("marks"))  # as many as the document is long
+    often = ws.table(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    hot = often.filter(F.col("n") > HOT).select("h")
+    n_hot = hot.count()
+    # hot anchors keep out of the join by anchor: none of its keys has more than HOT rows
+    rest, some = found, None
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        rest, some = found.join(few, "h", "left_anti"), found.join(few, "h", "left_semi").withColumn("hot", F.lit(True))
+    cold = rest.join(often.filter(F.col("n") <= HOT).select("h"), "h", "left_semi").withColumn("hot", F.lit(False))
+    marks = cold if some is None else cold.unionByName(some)
+    by_doc = marks.groupBy("id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("marks"))  # as many as the document is long
+    k = min(GRAM, length)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = t.encode("utf-8", "surrogatepass")
-                    hashed = None
+                    hashed = textvec.prefix_hash(np.frombuffer(raw, np.uint8)) if any(m["hot"] for m in marks) else None
                     for m in marks:
-                        if m["hot"]:
-                            if hashed is None:
-                                hashed = textvec.prefix_hash(np.frombuffer(raw, np.uint8))
-                            s = np.arange(m["first"], m["last"] + 1)
-                            piece = textvec.span_hash(hashed, s, s + length).tobytes()
-                        else:
-                            piece = raw[m["first"] : m["last"] + length]
-                        for c, v in zip(out, (m["h"], i, m["first"], piece, m["hot"]), strict=True):
+                        at = None
+                        if m["hot"]:  # the anchor's place: the last of its k-gram in the piece's first string
+                            s = np.arange(m["last"], m["first"] + length - k + 1)
+                            at = int(s[textvec.span_hash(hashed, s, s + k).view(np.int64) == m["h"]][-1])
+                        for c, v in zip(out, (m["h"], i, m["first"], at, m["hot"], raw[m["first"] : m["last"] + length]), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "id", "first", "piece", "hot"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "id", "first", "at", "hot", "piece"])
 
-    cut = docs.join(by_doc, "id").select("id", "text", "marks").mapInArrow(pieces, "h long, id long, first int, piece binary, hot boolean")
+    cut = docs.join(by_doc, "id").select("id", "text", "marks").mapInArrow(pieces, "h long, id long, first int, at int, hot boolean, piece binary")
     cut = ws.table(cut, "pieces")
     dealt = cut.filter("not hot").select("h", "id", "first", "piece").repartition("h").sortWithinPartitions("h")
     spans = dealt.mapInArrow(_sorted_groups(length), "id long, a int, b int")
-    return ws.table(spans.unionByName(_hot_spans(cut.filter("hot"), length)), "spans")
-
-
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """The spans of strings at anchors with many occurrences: counted by hash, with partial counts in each task."""
+    if n_hot:
+        for part in _hot_spans(cut.filter("hot").drop("hot"), ws, length):
+            spans = spans.unionByName(part)
+    return ws.table(spans, "spans")
+
+
+def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> Iterator[DataFrame]:
+    """(id, a, b) of hot anchors' pieces (h, id, first, at, piece), level by level."""
+    for width in (*WIDTHS, 0):
+        distinct = ws.table(rows.groupBy("h", "piece").agg(F.count("*").alias("n")).select("h", "n", "piece"), "distinct")
+        large = distinct.groupBy("h").agg(F.count("*").alias("d")).filter(F.col("d") > HOT).select("h")
+        n_large = large.count() if width else 0  # of one string there is one piece
+        few = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+        small = distinct.join(few, "h", "left_anti") if n_large else distinct
+        solved = small.repartition("h").sortWithinPartitions("h").mapInArrow(_counted_groups(length), "h long, piece binary, a array<int>, b array<int>")
+        solved = ws.table(solved, "flagged")
+        if solved.count() <= BROADCAST_PIECES:
+            met = rows.join(F.broadcast(solved), ["h", "piece"])
+        else:  # a piece may be that of a third of all rows: its rows are dealt out, its spans copied to each part
+            salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.lit(SALT)).cast("int")).join(salted, ["h", "piece", "salt"])
+        spans = met.select("id", "first", F.explode(F.arrays_zip("a", "b")).alias("x"))
+        yield spans.select("id", (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b"))
+        if not n_large:
+            return
+        rows = rows.join(few, "h", "left_semi").select("h", "id", "first", "at", "piece").mapInArrow(_classes(width, length), "h long, id long, first int, at int, piece binary")
+        rows = ws.table(rows, "classes")
+
+
+def _classes(width: int, length: int):
+    """Parts pieces into strings whose anchor stands at one of ``width`` places, keyed by what all such strings hold."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                b = batch.slice(i, 2000)
-                got = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3)]
-                n = np.array([len(g) for g in got])
-                first = np.repeat(b.column(2).to_numpy(), n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(first.astype(np.int32))], names=["s", "id", "at"])
-
-    each = hot.mapInArrow(strings, "s long, id long, at int")
-    often = each.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
-    return each.join(often, "s", "left_semi").select("id", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for h, i, first, at, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashed = textvec.prefix_hash(np.frombuffer(piece, np.uint8))
+                last = first + len(piece) - length
+                for r in range((at - last) // width, (at - first) // width + 1):
+                    x, y = max(first, at - r * width - width + 1), min(last, at - r * width)  # the class's strings in this piece
+                    common = np.array([at - r * width - first]), np.array([at - r * width - width + 1 + length - first])
+                    key = textvec.mix(textvec.span_hash(hashed, *common) + _U(h % (1 << 64)) * _U(31) + _U(r * 1000 + width))
+                    for c, v in zip(out, (int(key.view(np.int64)[0]), i, x, at, piece[x - first : y - first + length]), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "id", "first", "at", "piece"])
+
+    return run
 
 
 def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -43,10 +43,11 @@ def test_query_against_brute_force(spark):
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
-@pytest.mark.parametrize(("hot", "array"), [(2, 1 << 20), (6000, 1 << 20), (6000, 0)])
-def test_shared_passages_runs_and_ties(spark, monkeypatch, hot, array):
+@pytest.mark.parametrize(("hot", "pieces"), [(1, 0), (2, 10_000), (6000, 10_000)])
+def test_shared_passages_runs_and_ties(spark, monkeypatch, hot, pieces):
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "ARRAY", array)
+    monkeypatch.setattr(suffix, "WIDTHS", (9, 3, 1))
+    monkeypatch.setattr(suffix, "BROADCAST_PIECES", pieces)
     monkeypatch.setattr(suffix, "CHUNK", 500)
     r = random.Random(4)
     word = lambda n: "".join(r.choice("abcdé \n") for _ in range(n))
