@@ -30,7 +30,7 @@ from anomalake.llm.store import Workspace
 
 _U = np.uint64
 #: Bytes of an anchor's k-gram; pieces of an anchor up to which it is one group; bytes sorted at a time.
-GRAM, HOT, CHUNK = 48, 2000, 1 << 19
+GRAM, HOT, CHUNK = 48, 1000, 1 << 18
 #: Places of the anchor that a hot anchor's strings have in common, level by level; the last is one string.
 WIDTHS = (77, 20, 1)
 #: Hot keys, and rows of their flagged pieces, up to which they are broadcast (8 and some 400 bytes each); parts that a hot key is salted into beyond.
@@ -44,32 +44,38 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.zeros(n + 3, np.int64)
-    t[:n] = s + 1
+    t = np.zeros(n + 6, np.int32 if n < 1 << 31 and s.max() < (1 << 31) - 2 else np.int64)
+    t[:n] = s
+    t[:n] += 1
     width = int(t.max()) + 1
     if width >= 1 << 21:  # so that three symbols fit one key
         values, t[:n] = np.unique(t[:n], return_inverse=True)
         t[:n] += 1
         width = len(values) + 1
-    one, two = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)  # one place beyond the end keeps the merge uniform
-    at = np.concatenate([one, two])
+    at = np.concatenate([np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)])  # one place beyond the end keeps the merge uniform
     at = at[at < n + (n % 3 == 1)]
-    pad = np.concatenate([t, np.zeros(3, np.int64)]).astype(_U)
     w = _U(width)
-    key = (pad[at] * w + pad[at + 1]) * w + pad[at + 2]
+    key = (t[at].astype(_U) * w + t[at + 1].astype(_U)) * w + t[at + 2].astype(_U)
     order = np.argsort(key, kind="stable")
-    name = np.empty(len(at), np.int64)
-    name[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+    key = key[order]
+    name = np.empty(len(at), np.int32 if len(at) < 1 << 31 else np.int64)
+    name[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    del key
     if name.max() + 1 < len(at):  # names repeat: sort the string of names
+        del order
         order = suffix_array(name)
+    del name
     sampled = at[order]
+    del at, order
+    m = len(sampled)
     rank = np.zeros(n + 4, np.int64)
-    rank[sampled] = np.arange(1, len(at) + 1)
+    rank[sampled] = np.arange(1, m + 1)
     sampled = sampled[sampled < n]
     # the others, by (symbol, rank of the next suffix)
+    pad, r = t.astype(_U), rank.astype(_U)
+    del t, rank
     zero = np.arange(0, n, 3)
-    big = _U(len(at) + 2)
-    r = rank.astype(_U)
+    big = _U(m + 2)
     k0 = pad[zero] * big + r[zero + 1]
     zero, k0 = (x[np.argsort(k0, kind="stable")] for x in (zero, k0))
     # merge: where each sampled suffix stands among the others, by keys that compare the two
@@ -158,7 +164,7 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, count: np.ndarray, grou
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[which]
     valid = np.full(len(data), -1, np.int64)
     valid[start] = np.arange(len(start))
-    order = valid[suffix_array(data.astype(np.int64))]
+    order = valid[suffix_array(data)]
     order = order[order >= 0]
     at = start[order]
     # neighbours of one group: a hash of their prefixes says which to compare
@@ -371,7 +377,7 @@ def deduplicate(docs: DataFrame, ws: Workspace, length: int = 200, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+            for b in slices(batch, "text", 1 << 20):
                 out: tuple[list, ...] = ([], [], [], [])
                 for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = t.encode("utf-8", "surrogatepass")
