@@ -29,7 +29,7 @@ from anomalake.llm.store import Workspace
 ROWS, BANDS, BITS = 6, 40, 1024
 SAMPLES = ROWS * BANDS
 #: Members of a bucket or component that one block holds of each side, and pairs of two components that a block proposes.
-BLOCK, PARTNERS = 2000, 4
+BLOCK, PARTNERS = 500, 4
 #: The same for blocks that hold full sets.
 SETS = 500
 #: Node ids up to which the list of documents to confirm is broadcast (8 bytes each); beyond, it is joined by shuffle.
@@ -111,6 +111,44 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return left.join(some.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, lead) of the members that sorted (bucket, id) shows not to be alone; the lead is the first of its run.
+
+    The first and last run of a partition are passed on whatever their length, as they may go on in another one, where
+    they have another lead; a bucket's leads meet where components are compared.
+    """
+    own, ids, lead, begun, opening = None, np.zeros(0, np.int64), 0, False, True  # the last run: its rows not passed on yet, whether some were, whether it opens the partition
+
+    def rows(bucket: np.ndarray, ident: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ident), pa.array(lead)], names=["bucket", "id", "lead"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, ident = (batch.column(i).to_numpy() for i in range(2))
+        if own is not None:
+            bucket, ident = np.concatenate([np.full(len(ids), own), bucket]), np.concatenate([ids, ident])
+        at = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        size = np.diff(np.append(at, len(bucket)))
+        leads, many = ident[at].copy(), size > 1
+        if own is not None and bucket[0] == own:
+            leads[0], many[0] = lead, many[0] | begun | opening
+        else:
+            begun, opening = False, own is None
+            many[0] |= opening
+        keep = np.repeat(many & (np.arange(len(at)) < len(at) - 1), size)
+        if keep.any():
+            yield rows(bucket[keep], ident[keep], np.repeat(leads, size)[keep])
+        if len(at) > 1:
+            begun = opening = False
+        own, lead, ids = int(bucket[-1]), int(leads[-1]), ident[at[-1] :]
+        if len(ids) > 4096:  # a long run is passed on as it comes
+            yield rows(np.full(len(ids), own), ids, np.full(len(ids), lead))
+            ids, begun = ids[:0], True
+    if len(ids):
+        yield rows(np.full(len(ids), own), ids, np.full(len(ids), lead))
+
+
 def _by_group(solve, keys: tuple[str, ...]):
     """Hands whole groups of rows (sorted by the keys) to solve, and passes on the batches that it yields."""
 
@@ -231,9 +269,11 @@ def duplicates(docs: DataFrame, ws: Workspace, size: int = 5, percent: int = 80,
     cls = sk.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "odd", "bands")).alias("x"))
     cls = ws.table(cls.select("key", "x.*"), "classes")
     node = cls.select("id", "n", "odd")
-    band = cls.select("id", F.explode("bands").alias("bucket"))
-    lead = band.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("top"), F.count("*").alias("size")).filter("lead < top")
-    shared = ws.table(band.join(lead.select("bucket", "lead", "size"), "bucket"), "buckets")
+    # members of a bucket stand next to each other, a bucket of many of them in several partitions: no key has to fit one task
+    band = cls.select(F.explode("bands").alias("bucket"), "id")
+    by = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = band.repartitionByRange(by, "bucket", "id").sortWithinPartitions("bucket", "id")
+    shared = ws.table(dealt.mapInArrow(_shared, "bucket long, id long, lead long"), "buckets")
     most = most_differing(percent / 100)
 
     # each class with its nearest leader

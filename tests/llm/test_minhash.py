@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from anomalake.llm import graph, minhash
@@ -91,3 +92,18 @@ def test_components_of_a_path(spark, n):
     e = spark.range(n).selectExpr("id * 2 + 1 a", "id * 2 + 3 b")
     got = {r.node: r.component for r in graph.components(e, Workspace(spark, "t")).collect()}
     assert got == {2 * i + 1: 1 for i in range(n + 1)}
+
+
+def test_shared_buckets_of_sorted_rows():
+    r = random.Random(9)
+    for trial in range(60):
+        rows = sorted({(r.randint(0, r.choice((3, 30))), r.randint(0, 9000)) for _ in range(r.choice((0, 1, 5, 40, 9000)))})
+        cut = sorted(r.randint(0, len(rows)) for _ in range(r.randint(0, 5)))
+        parts = [rows[a:b] for a, b in zip([0, *cut], [*cut, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in x], pa.int64()), pa.array([i for _, i in x], pa.int64())], names=["bucket", "id"]) for x in parts]
+        got = [tuple(v.values()) for b in minhash._shared(iter(batches)) for v in b.to_pylist()]
+        of = {}
+        for b, i in rows:
+            of.setdefault(b, []).append(i)
+        edge = {rows[0][0], rows[-1][0]} if rows else set()
+        assert got == [(b, i, of[b][0]) for b, i in rows if len(of[b]) > 1 or b in edge], trial
