@@ -32,7 +32,7 @@ CUT_BITS = 9
 #: Bytes of chunks that a task keeps, and characters given to the library at a time.
 CHUNK_BYTES, BATCH = 16 << 20, 1 << 17
 #: Bytes of text that are encoded, and go back to Spark, at a time.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Characters that Python counts as white space but the tokenizer's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"\s")

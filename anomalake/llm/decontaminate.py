@@ -32,7 +32,7 @@ REPEATS, SAMPLED = 40, 3
 #: Items that go with the tasks in one pass; a larger benchmark takes a pass over the documents for each such block.
 ITEMS = 20_000
 #: A filter has 64 places for each q-gram, up to this many bits of hash; and bytes of text that are matched at a time.
-FILTER_BITS, SLICE = 22, 1 << 19
+FILTER_BITS, SLICE = 22, 2 << 20
 
 
 def word_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
