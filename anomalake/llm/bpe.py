@@ -2,12 +2,12 @@
 
 A text is cut where a rolling hash of its last bytes hits a pattern, so documents that share a passage share its
 chunks whatever stands before it. A chunk is encoded once, from its first white space to its last, and kept with the
-parts of words at its ends. Each join of two chunks is then repaired: the word across it is encoded by itself and
-again between the neighbouring words of both chunks, and the join holds only where both encodings, and the ids at
-the chunks' ends, agree exactly. Where they don't, the window grows to the whole text.
+parts of words at its ends. Each join of two chunks is then repaired: the word across it is encoded by itself, and
+the library encodes it again between the neighbouring words of both chunks, as one string; the join holds only where
+both encodings, and the ids at the chunks' ends, agree exactly. Where they don't, the window grows to the whole text.
 
-Memory is bounded in bytes: a task keeps the chunks used last, up to ``CHUNK_BYTES``, and the map goes with the task.
-There is no shuffle: each input partition is encoded where it is read.
+Memory is bounded: a task keeps the chunks used last, up to ``CHUNK_BYTES``, and the ids of two generations of words, from
+which new chunks are put together (the library alone takes twice the time); both go with the task. There is no shuffle: each input partition is encoded where it is read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,12 +31,16 @@ from pyspark.sql.types import ArrayType, IntegerType
 #: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 512 bytes on average.
 CUT_BITS = 9
 #: Bytes of chunks that a task keeps, and characters given to the library at a time.
-CHUNK_BYTES, BATCH = 16 << 20, 1 << 17
+CHUNK_BYTES, BATCH = 8 << 20, 1 << 17
+#: Words of a generation, some 200 bytes each; a task keeps two, and words that are met again move on to the newer one.
+WORDS = 200_000
 #: Bytes of text that are encoded, and go back to Spark, at a time.
 SLICE = 2 << 20
 #: Characters that Python counts as white space but the tokenizer's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"\s")
+#: Marks that may follow a word's letters.
+MARKS = ".,;:!?%$#&*()[]\"/|-"
 
 
 def cut_points(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
@@ -77,10 +82,12 @@ def parted(text: str) -> tuple[str, str, str, bool]:
 
 
 class Chunks:
-    """Chunks by their bytes; those used longest ago go first."""
+    """A task's memory: chunks by their bytes, of which those used longest ago go first, and words."""
 
     def __init__(self, most: int = CHUNK_BYTES):
         self.most, self.held, self._map = most, 0, OrderedDict()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def get(self, raw: bytes) -> Chunk | None:
         got = self._map.get(raw)
@@ -122,6 +129,8 @@ class ChunkEncoder:
             t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]
         )
         vocab = self.lib.get_vocab(with_added_tokens=True)
+        # letters and the marks after them are matched apart, and the marks listed belong to no other alternative or added token
+        self.apart = self.exact and all(x in split["pattern"]["Regex"] for x in (r"|[\p{L}]+|", r"|[^\s\p{L}\p{N}]+")) and not any(t["content"][-1] in MARKS or t["content"].isalpha() for t in spec["added_tokens"])
         self.names = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.names[i] = token
@@ -148,6 +157,34 @@ class ChunkEncoder:
             give()
         return out
 
+    def _pieces(self, word: str) -> tuple[str, ...]:
+        """A word's lower-cased letters and the marks after them, where the tokenizer surely encodes them apart; else the word."""
+        core = word.rstrip(MARKS)
+        if core and self.apart and core.isalpha() and (core.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+        return (word,)
+
+    def _words(self, wanted: list[str], known: Chunks) -> dict[str, bytes]:
+        """A map that has the ids of all the words."""
+        if len(known.words) > WORDS:  # words of the generation before last are forgotten
+            known.older, known.words = known.words, {}
+        have, older = known.words, known.older
+        new = {w for w in wanted if w not in have}
+        lost = []
+        for w in new:
+            got = older.get(w)
+            if got is None:
+                lost.append(w)
+            else:
+                have[w] = got
+        of = {w: self._pieces(w) for w in lost}
+        parts = {p for ps in of.values() for p in ps if p not in have}
+        have |= {p: older[p] for p in parts if p in older}
+        have |= self._library(p for p in parts if p not in older)
+        for w, ps in of.items():
+            have[w] = have[ps[0]] + have[ps[1]] if len(ps) == 2 else have[ps[0]]
+        return have
+
     def _chunks(self, wanted: list[bytes], known: Chunks) -> dict[bytes, Chunk]:
         """The chunk of each of the byte strings; the new ones are encoded together."""
         out: dict[bytes, Chunk] = {}
@@ -160,13 +197,12 @@ class ChunkEncoder:
                 self.reused += 1
             else:
                 head, inner, tail, spaced = parted(raw.decode("utf-8", "surrogatepass"))
-                words = inner.split()
-                new[raw] = head, inner, tail, spaced, words[0] if words else "", words[-1] if words else ""
+                new[raw] = head, inner.split(), tail, spaced
                 self.encoded += 1
-        ids = self._library(s for _, inner, _, _, first, last in new.values() for s in (inner, first, last) if s)
-        ids[""] = b""
-        for raw, (head, inner, tail, spaced, first, last) in new.items():
-            out[raw] = Chunk(head, tail, spaced, ids[inner], first, last, ids[first], ids[last])
+        ids = self._words([w for _, words, _, _ in new.values() for w in words], known)
+        for raw, (head, words, tail, spaced) in new.items():
+            first, last = (words[0], words[-1]) if words else ("", "")
+            out[raw] = Chunk(head, tail, spaced, b"".join([ids[w] for w in words]), first, last, ids[first] if words else b"", ids[last] if words else b"")
             known.put(raw, out[raw])
         return out
 

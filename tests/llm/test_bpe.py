@@ -40,12 +40,13 @@ def test_shared_chunks_are_encoded_once(lib):
     assert enc.encoded - first < first / 4 and enc.reused > first / 2 and not enc.whole
 
 
-def test_the_map_of_chunks_is_bounded_and_changes_nothing(lib):
-    texts = [" ".join(f"w{i * k % 997}" for i in range(900)) for k in range(1, 12)] * 2
+def test_the_maps_are_bounded_and_change_nothing(lib, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 500)
+    texts = [" ".join(f"w{i * k % 997}" for i in range(900)) for k in range(1, 12)] * 2 + ["<|EndOfText|> <|endoftext|> Word WORD word"]
     enc, known = bpe.ChunkEncoder(PATH), bpe.Chunks(20_000)
     for t in texts:
         assert enc.encode_all([t], known) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
-        assert known.held <= 20_000
+        assert known.held <= 20_000 and len(known.words) + len(known.older) <= 2 * (500 + 2 * 900)
 
 
 def test_a_join_that_disagrees_takes_the_whole_text(lib, monkeypatch):
