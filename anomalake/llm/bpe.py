@@ -6,8 +6,8 @@ parts of words at its ends. Each join of two chunks is then repaired: the word a
 the library encodes it again between the neighbouring words of both chunks, as one string; the join holds only where
 both encodings, and the ids at the chunks' ends, agree exactly. Where they don't, the window grows to the whole text.
 
-Memory is bounded: a task keeps the chunks used last, up to ``CHUNK_BYTES``, and the ids of two generations of words, from
-which new chunks are put together (the library alone takes twice the time); both go with the task. There is no shuffle: each input partition is encoded where it is read.
+Memory is bounded: a worker keeps the chunks used last, up to ``CHUNK_BYTES``, and the ids of two generations of words,
+from which new chunks are put together (the library alone takes twice the time), some 50 MB in all. There is no shuffle: each input partition is encoded where it is read.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 CUT_BITS = 9
 #: Bytes of chunks that a task keeps, and characters given to the library at a time.
 CHUNK_BYTES, BATCH = 8 << 20, 1 << 17
-#: Words of a generation, some 200 bytes each; a task keeps two, and words that are met again move on to the newer one.
-WORDS = 200_000
+#: Words of a generation, some 200 bytes each; two are kept, and words that are met again move on to the newer one.
+WORDS = 100_000
 #: Bytes of text that are encoded, and go back to Spark, at a time.
 SLICE = 2 << 20
 #: Characters that Python counts as white space but the tokenizer's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 SPACE = re.compile(r"\s")
 #: Marks that may follow a word's letters.
 MARKS = ".,;:!?%$#&*()[]\"/|-"
@@ -82,7 +83,7 @@ def parted(text: str) -> tuple[str, str, str, bool]:
 
 
 class Chunks:
-    """A task's memory: chunks by their bytes, of which those used longest ago go first, and words."""
+    """A worker's memory: chunks by their bytes, of which those used longest ago go first, and words."""
 
     def __init__(self, most: int = CHUNK_BYTES):
         self.most, self.held, self._map = most, 0, OrderedDict()
@@ -134,6 +135,7 @@ class ChunkEncoder:
         self.names = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.names[i] = token
+        self.known = Chunks()
         self.reused = self.encoded = self.repaired = self.whole = 0
 
     def _library(self, strings: Iterable[str]) -> dict[str, bytes]:
@@ -145,9 +147,9 @@ class ChunkEncoder:
         def give() -> None:
             for s, e in zip(held, self.lib.encode_batch_fast(held, add_special_tokens=False), strict=True):
                 ids = e.ids
-                out[s] = struct.pack(f"<{len(ids)}I", *ids)
+                out[s] = PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
-        for s in dict.fromkeys(strings):
+        for s in set(strings):
             held.append(s)
             size += len(s) + 16
             if size >= BATCH:
@@ -164,23 +166,17 @@ class ChunkEncoder:
             return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
         return (word,)
 
-    def _words(self, wanted: list[str], known: Chunks) -> dict[str, bytes]:
+    def _words(self, wanted: set[str], known: Chunks) -> dict[str, bytes]:
         """A map that has the ids of all the words."""
         if len(known.words) > WORDS:  # words of the generation before last are forgotten
             known.older, known.words = known.words, {}
         have, older = known.words, known.older
-        new = {w for w in wanted if w not in have}
-        lost = []
-        for w in new:
-            got = older.get(w)
-            if got is None:
-                lost.append(w)
-            else:
-                have[w] = got
-        of = {w: self._pieces(w) for w in lost}
-        parts = {p for ps in of.values() for p in ps if p not in have}
-        have |= {p: older[p] for p in parts if p in older}
-        have |= self._library(p for p in parts if p not in older)
+        wanted -= have.keys()
+        have |= {w: older[w] for w in wanted & older.keys()}
+        of = {w: self._pieces(w) for w in wanted - have.keys()}
+        parts = {p for ps in of.values() for p in ps} - have.keys()
+        have |= {p: older[p] for p in parts & older.keys()}
+        have |= self._library(parts - have.keys())
         for w, ps in of.items():
             have[w] = have[ps[0]] + have[ps[1]] if len(ps) == 2 else have[ps[0]]
         return have
@@ -199,7 +195,7 @@ class ChunkEncoder:
                 head, inner, tail, spaced = parted(raw.decode("utf-8", "surrogatepass"))
                 new[raw] = head, inner.split(), tail, spaced
                 self.encoded += 1
-        ids = self._words([w for _, words, _, _ in new.values() for w in words], known)
+        ids = self._words(set().union(*(words for _, words, _, _ in new.values())), known)
         for raw, (head, words, tail, spaced) in new.items():
             first, last = (words[0], words[-1]) if words else ("", "")
             out[raw] = Chunk(head, tail, spaced, b"".join([ids[w] for w in words]), first, last, ids[first] if words else b"", ids[last] if words else b"")
@@ -265,7 +261,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file: the vocabulary alone outlives a task."""
+    """The worker's encoder for a vocabulary file, with what it keeps between tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
@@ -283,10 +279,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
         schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(vocabulary), Chunks()
+        enc = encoder(vocabulary)
         for batch in batches:
             for b in slices(batch, text, SLICE):
-                got = enc.encode_all([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()], known)
+                got = enc.encode_all([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()], enc.known)
                 ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
                 cols = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))]
                 if decoded:
@@ -313,10 +309,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, through the same encoder; only these leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(vocabulary), Chunks()
+        enc = encoder(vocabulary)
         for batch in batches:
             for b in slices(batch, "text", SLICE):
-                got = enc.encode_all([t or "" for t in b.column(1).to_pylist()], known)
+                got = enc.encode_all([t or "" for t in b.column(1).to_pylist()], enc.known)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
