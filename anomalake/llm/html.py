@@ -1,8 +1,9 @@
 """Main-text extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass labels each block from its zone (article, or
-boilerplate by tag, class or id), its length, its link density and its density of stop words. Blocks too short or
-too mixed to decide are ambiguous; the second pass gives each of them the label of the nearest decided neighbour.
+boilerplate by tag, class or id), its length, its link density and its density of stop words; in scripts whose stop
+words aren't listed, sentence marks stand for them. Blocks too short or too mixed to decide are ambiguous; the second
+pass gives each of them the label of the nearest decided neighbour, found by one sweep in each direction.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 # Words of a class or id that mark what stands around an article.
 MARKED = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice banner popup modal overlay "
-    "newsletter subscribe subscription signup login comment comments reply replies respond disqus share sharing social related recommended trending pagination pager toolbar widget tags copyright".split()
+    "ad ads advert adverts advertisement sponsored promo newsletter subscribe subscription signup login comment comments reply replies respond disqus share sharing social related recommended trending pagination pager toolbar widget tags copyright".split()
 )
 # Frequent function words of languages in Latin script.
 STOP = frozenset(
@@ -44,6 +45,10 @@ STOP = frozenset(
     "el los las del y que un una por con no para se su al lo como más o pero sus este entre ha si sobre "
     "il di che è per non una sono della con del si dei da o os as dos um uma não em na no mais het een van voor op niet met zijn".split()
 )
+# Words that may follow a marked one in a class name, as in footer-links.
+PARTS = frozenset("area bar block body bottom box button buttons container content form inner item items left link links list panel post posts right section stories text top wrap wrapper".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+SENTENCE = re.compile(r"[.!?\u3002\uff01\uff1f\u0964\u06d4\u061f\u0589\u104b\u17d4]")
 #: Blocks shorter than this, in characters, can't be decided by themselves; above LONG a low density of stop words is enough.
 SHORT, LONG = 70, 200
 LINKS, STOP_LOW, STOP_HIGH = 0.33, 0.08, 0.22
@@ -59,19 +64,28 @@ class Block:
     label: str = ""
 
 
+def _marks(name: str) -> bool:
+    """Whether a class or id names what stands around an article: a marked word at its end, or before words for parts."""
+    words = [w.lower() for w in NAME.findall(name)]
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return bool(words) and words[-1] in MARKED
+
+
 def _zone(parent: int, commented: bool, tag: str, attributes: str) -> tuple[int, bool]:
-    words: set[str] = set()
+    names: list[str] = []
     role = ""
     for name, value in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         value = value.strip("\"'")
         if name.lower() == "role":
             role = value.lower()
         else:
-            words |= {w.lower() for w in NAME.findall(value)}
-    if tag not in ("html", "body") and (words & MARKED or role in ROLES) or tag in BOILER or tag == "header" and parent != 1:
-        return -1, commented or bool(words & {"comment", "comments", "reply", "replies", "respond", "disqus"})
-    if tag in ("article", "main") and not commented:
-        return 1, False
+            names += value.split()
+    words = {w.lower() for n in names for w in NAME.findall(n)}
+    if tag in ("article", "main"):  # its class says what kind of article it is; only a reader's comment is none
+        return (1, False) if not commented and not words & COMMENTS else (-1, True)
+    if tag not in ("html", "body", *HEADING) and (any(map(_marks, names)) or role in ROLES) or tag in BOILER or tag == "header" and parent != 1:
+        return -1, commented or bool(words & COMMENTS)
     return parent, commented
 
 
@@ -159,28 +173,45 @@ def classify(found: list[Block]) -> list[Block]:
             b.label = "good" if n >= SHORT else "short"
         elif article:
             b.label = "bad"  # what stands outside the article of a page that marks one
-        elif "©" in b.text:
-            b.label = "bad"
+        elif "©" in b.text and n < LONG:
+            b.label = "bad"  # the line of a footer; a paragraph may name the sign
         elif n < SHORT:
             b.label = "short"
         else:
-            words = WORD.findall(b.text.lower())
-            density = sum(w in STOP for w in words) / max(1, len(words))
+            density = _density(b.text)
             b.label = "good" if density >= STOP_HIGH or n >= LONG and density >= STOP_LOW else "bad" if density < STOP_LOW else "short"
-    decided = [(i, b) for i, b in enumerate(found) if b.label in ("good", "bad")]
+    # the nearest decided block of the same zone before and behind each place, and the next block that is no heading
+    decided = [b.label in ("good", "bad") for b in found]
+    before: list[tuple[int, str] | None] = []
+    last: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(found):
-        if b.label != "short":
-            continue
-        near = [(abs(j - i), o.label != "good", o.label) for j, o in decided if o.zone == b.zone]  # an article's blocks look inside it only
-        if b.heading and (after := next((o for o in found[i + 1 :] if not o.heading), None)) and after.zone == b.zone and after.label in ("good", "bad"):
-            b.label = "good!" if after.label == "good" else "bad!"
+        before.append(last.get(b.zone))
+        if decided[i]:
+            last[b.zone] = (i, b.label)
+    last, text = {}, None
+    for i in range(len(found) - 1, -1, -1):
+        b, behind = found[i], last.get(found[i].zone)
+        if decided[i]:
+            last[b.zone] = (i, b.label)
+        elif b.heading and text is not None and text[1] == b.zone and text[2]:
+            b.label = text[2]  # a heading goes with its text
         else:
-            b.label = min(near)[2] + "!" if near else "good!" if b.zone == 1 else "bad!"
-    for b in found:
-        b.label = b.label.rstrip("!")
+            near = [(abs(j - i), label != "good", label) for j, label in (x for x in (before[i], behind) if x)]
+            b.label = min(near)[2] if near else "good" if b.zone == 1 else "bad"
+        if not b.heading:
+            text = (i, b.zone, b.label if decided[i] else "")
     return found
 
 
+def _density(text: str) -> float:
+    """The share of stop words. Where most letters aren't Latin: whether there are sentences, which stand for them."""
+    words = WORD.findall(text.lower())
+    letters = "".join(words)
+    if sum(c < "\u0250" for c in letters) * 2 < len(letters):
+        return 1.0 if SENTENCE.search(text) else 0.0
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
 def extract(page: str | None) -> str:
     """The main text: good blocks in page order, parted by one space; empty for a null, empty or article-less page."""
     return " ".join(b.text for b in classify(blocks(page)) if b.label == "good")
