@@ -50,8 +50,21 @@ def clean(text: Column) -> Column:
     return F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
 
 
+#: Parts of a text that are put in place one after another; longer lists go in runs of so many, whose lengths are summed after.
+RUN = 64
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of the pattern's matches in a clean text, by code point."""
+    """array<struct<start, end, match, before>> of the pattern's matches in a clean text, by code point.
+
+    Every second part of the split text is a match. A list that grows by one match at a time would be copied each
+    time, so runs of parts are placed by themselves and then moved by what stands before them.
+    """
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string>>)")
 
@@ -61,9 +74,20 @@ def found(text: Column, pattern: str) -> Column:
         out = F.when(a["inside"], F.concat(a["out"], F.array(new))).otherwise(a["out"])
         return F.struct(end.alias("pos"), (~a["inside"]).alias("inside"), out.alias("out"), F.right(x, F.lit(CONTEXT)).alias("last"))
 
-    return F.when(F.size(parts) < 2, none).otherwise(
-        F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), none.alias("out"), F.lit("").alias("last")), step, lambda a: a["out"])
-    )
+    def placed(run: Column) -> Column:
+        return F.aggregate(run, F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), none.alias("out"), F.lit("").alias("last")), step)
+
+    def moved(runs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = F.aggregate(runs, zero, lambda a, x: F.struct((a["pos"] + x["pos"]).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
+        put = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match"), m["before"].alias("before"))
+        return F.flatten(F.zip_with(runs, starts, lambda x, by: F.transform(x["out"], lambda m: put(m, by))))
+
+    def whole(p: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: placed(F.slice(p, i * RUN + 1, F.lit(RUN))))
+        return F.when(F.size(p) < 2, none).when(F.size(p) <= RUN, placed(p)["out"]).otherwise(_let(runs, moved))
+
+    return _let(parts, whole)
 
 
 def valid(kind: str, m: Column) -> Column:

@@ -73,3 +73,10 @@ def test_redaction_and_native_plan(spark):
     out = pii.redact(df, pii.fit(spark))
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a [EMAIL] b [PHONE] é [IP]", None, "plain"] and out.columns == df.columns
     assert not re.search("Python|Arrow|Pandas", op7_pii(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+
+
+def test_matches_beyond_one_run_keep_their_places(spark):
+    texts = [" x".join(f"é a{i}@b.co" for i in range(n)) for n in (31, 32, 33, 64, 65, 700)] + ["10.0.0.1 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.b for r in pii.detect(df, pii.fit(spark)).select("doc_id", pii.listed(F.col("pii.base")).alias("b")).collect()}
+    assert all(got[i] == ",".join(brute(t)) for i, t in enumerate(texts) if i < 6) and got[6].count("ip:") == 3000
