@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,33 @@ def auroc_ap(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     return from_histogram(histogram(df, by, label, score), by)
 
 
+def running(rows: DataFrame, by: list[str], sums: dict[str, Column], then: list[Column] | None = None, parts: int = 64) -> DataFrame:
+    """Adds sums that run from a group's highest score down (of equal ones in the order ``then``), in two levels.
+
+    A group is cut into ``parts`` ranges of scores by approximate percentiles; each range is summed by itself, and the
+    ranges' totals, a few rows a group, give what goes before it. No task has to take a whole group.
+    """
+    cut = rows.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000)).alias("_cut"))
+
+    def with_group(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        keys = [*by, *more]
+        if not keys:
+            return left.crossJoin(F.broadcast(right))  # one row
+        named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        return left.join(named, same).drop(*(f"_k_{k}" for k in keys))
+
+    ranged = with_group(rows, cut).withColumn("_part", F.size(F.filter("_cut", lambda x: x > F.col("score")))).drop("_cut")
+    total = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_t_{k}") for k, c in sums.items()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows a group
+    total = total.select(*by, "_part", *(F.sum(f"_t_{k}").over(before).alias(f"_t_{k}") for k in sums))
+    inside = Window.partitionBy(*by, "_part").orderBy(F.desc("score"), *(then or [])).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", *(F.sum(c).over(inside).alias(k) for k, c in sums.items()))
+    return with_group(local, total, "_part").withColumns({k: F.col(k) + F.coalesce(f"_t_{k}", F.lit(0)) for k in sums}).drop("_part", *(f"_t_{k}" for k in sums))
+
+
 def from_histogram(h: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    c = h.withColumn("tp", F.sum("p").over(w)).withColumn("m", F.sum("n").over(w))
+    c = running(h, by, {"tp": F.col("p"), "m": F.col("n")})
     neg = F.col("n") - F.col("p")
     c = c.withColumn("above", F.col("m") - F.col("tp") - neg)  # negatives scored higher
     a = c.groupBy(*by).agg(
@@ -53,10 +77,10 @@ def counts_at(h: DataFrame, thresholds: DataFrame, by: list[str], strict: bool =
     t = thresholds.select(*by, F.col("threshold").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_t")).distinct()
     rows = h.select(*by, "score", "p", "n", F.lit(0).alias("_t")).unionByName(t)
     # a threshold comes before rows of its score when strict, else after them
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("_t") if strict else F.asc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    c = rows.select(*by, "score", "_t", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum(F.col("n") - F.col("p")).over(whole).alias("negatives"))
-    return c.filter("_t = 1").select(*by, F.col("score").alias("threshold"), "tp", "fp", "positives", "negatives")
+    c = running(rows, by, {"tp": F.col("p"), "fp": F.col("n") - F.col("p")}, [F.desc("_t") if strict else F.asc("_t")]).filter("_t = 1")
+    whole = h.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
+    c = c.join(whole, by) if by else c.crossJoin(F.broadcast(whole))  # a row a group
+    return c.select(*by, F.col("score").alias("threshold"), "tp", "fp", "positives", "negatives")
 
 
 def best_f1(df: DataFrame, by: list[str], label: str, score: str, most: int = 512) -> DataFrame:
@@ -74,8 +98,9 @@ def fixed_fpr(df: DataFrame, by: list[str], label: str, score: str, caps: list[f
     the actual rate never exceeds the cap.
     """
     h = histogram(df, by, label, score)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    c = h.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum(F.col("n") - F.col("p")).over(w)).withColumn("positives", F.sum("p").over(Window.partitionBy(*by))).withColumn("negatives", F.sum(F.col("n") - F.col("p")).over(Window.partitionBy(*by)))
+    whole = h.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
+    c = running(h, by, {"tp": F.col("p"), "fp": F.col("n") - F.col("p")})
+    c = c.join(whole, by) if by else c.crossJoin(F.broadcast(whole))  # a row a group
     c = c.withColumn("cap", F.explode(F.array(*map(F.lit, caps)))).withColumn("budget", F.floor(F.col("cap") * F.col("negatives") + 1e-9))
     # the highest score at which more negatives are reached than the budget allows
     at = c.filter("fp > budget").groupBy(*by, "cap", "positives", "negatives").agg(F.max_by(F.struct("score", F.col("tp") - F.col("p"), F.col("fp") - (F.col("n") - F.col("p"))), "score").alias("x"))

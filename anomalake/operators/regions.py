@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalake.operators.ranking import counts_at, histogram, partial_area
+from anomalake.operators.ranking import counts_at, histogram, partial_area, running
 
 
 def label_cells(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -65,19 +65,19 @@ def region_curve(cells: DataFrame, pixels: DataFrame, thresholds: DataFrame, ima
     """
     size = cells.groupBy(*image, "region").agg(F.count("*").alias("size"))
     steps = cells.join(size, [*image, "region"]).select(F.col(score).cast("double").alias("score"), (F.lit(1.0) / F.col("size")).alias("w"))
-    n = size.count()
     h = histogram(pixels, [], label, score)
     c = counts_at(h, thresholds, [], strict)
     t = thresholds.select(F.col("threshold").alias("score"), F.lit(0.0).alias("w"), F.lit(1).alias("_t")).distinct()
     rows = steps.groupBy("score").agg(F.sum("w").alias("w")).withColumn("_t", F.lit(0)).unionByName(t)
-    w = Window.orderBy(F.desc("score"), F.desc("_t") if strict else F.asc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    pro = rows.withColumn("pro", F.sum("w").over(w) / max(1, n)).filter("_t = 1").select(F.col("score").alias("threshold"), "pro")
+    then = [F.desc("_t") if strict else F.asc("_t")]
+    n = size.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    pro = running(rows, [], {"_w": F.col("w")}, then).filter("_t = 1").crossJoin(F.broadcast(n)).select(F.col("score").alias("threshold"), (F.col("_w") / F.col("_n")).alias("pro"))  # one row
     return c.join(pro, "threshold").select("threshold", F.try_divide(F.col("fp").cast("double"), F.col("negatives").cast("double")).alias("fpr"), "pro")
 
 
-def aupro(curve: DataFrame, limit: float = 0.30) -> DataFrame:
-    """The area under the curve up to the limit, over the limit; the curve starts at (0, 0)."""
-    start = curve.limit(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("pro"))
+def aupro(curve: DataFrame, limit: float = 0.30, closed: bool = False) -> DataFrame:
+    """The area under the curve up to the limit, over the limit; the curve starts at (0, 0) and, where closed, ends at (1, 1)."""
+    start = curve.limit(1).select(F.explode(F.array(*(F.lit(float(v)) for v in ((0, 1) if closed else (0,))))).alias("fpr")).withColumn("pro", F.col("fpr"))
     return partial_area(curve.select("fpr", "pro").unionByName(start), [], limit)
 
 

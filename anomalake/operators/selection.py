@@ -70,16 +70,18 @@ def round_robin_quota(counts: DataFrame, group: str, total: int) -> DataFrame:
     return level.select(group, "n", F.when(F.col("_full"), F.col("n")).otherwise(F.col("_level") + F.when(rank <= F.col("_spare"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def waterfill(counts: dict[int, int], total: int, minimum: int = 0) -> dict[int, int]:
+def waterfill(counts: dict[int, int], total: int, minimum: int = 32) -> dict[int, int]:
     """Proportional whole budgets within each group's size: a floor first, then shares of what is left, by largest remainder.
 
-    Groups that reach their size leave the round and the rest is shared again; ties go to the larger size, then to
+    Floors that need more than the total are all 0. A total below 1 or above the groups' sizes is an error. Groups that reach their size leave the round and the rest is shared again; ties go to the larger size, then to
     the smaller key. A driver-side step over one number a group.
     """
+    if not counts or min(counts.values()) < 0 or not 1 <= total <= sum(counts.values()) or minimum < 0:
+        raise ValueError("budgets need groups, a floor that isn't negative, and a total between 1 and the groups' sizes")
     out = {g: min(n, minimum) for g, n in counts.items()}
-    left = min(total, sum(counts.values())) - sum(out.values())
-    if left < 0:
-        raise ValueError("the floors need more than the total")
+    if sum(out.values()) > total:
+        out = dict.fromkeys(counts, 0)
+    left = total - sum(out.values())
     while left > 0:
         room = {g: counts[g] - out[g] for g in counts if counts[g] > out[g]}
         weight = sum(counts[g] for g in room)

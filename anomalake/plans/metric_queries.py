@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalake.operators import ranking, regions
+from anomalake.operators import projections, ranking, regions
 from anomalake.plans.tables import GRID, REGIONS, grid, r6, table
 
 Q: dict = {}
@@ -159,15 +159,8 @@ def aupro_linear(spark: SparkSession, sf: str) -> DataFrame:
 select round(avg(tp / t) filter (t > 0), 6) mean_recall, round(avg(tp / t) filter (t > 0 and t <= 0.2 * n), 6) small_recall, round(avg((p > 0)::int) filter (t = 0), 6) normal_positive_rate, round(sum(p) / nullif(sum(t), 0), 6) oversegmentation from i""",
 )
 def localization(spark: SparkSession, sf: str) -> DataFrame:
-    hit = F.col("score") > 300
-    i = grid(spark, sf).groupBy("image").agg(F.sum("truth").alias("t"), F.count_if(hit & (F.col("truth") == 1)).alias("tp"), F.count_if(hit).alias("p"), F.count("*").alias("n"))
-    recall = F.col("tp") / F.when(F.col("t") > 0, F.col("t"))
-    return i.agg(
-        r6(F.avg(recall)).alias("mean_recall"),
-        r6(F.avg(F.when(F.col("t") <= 0.2 * F.col("n"), recall))).alias("small_recall"),
-        r6(F.avg(F.when(F.col("t") == 0, (F.col("p") > 0).cast("double")))).alias("normal_positive_rate"),
-        r6(F.try_divide(F.sum("p").cast("double"), F.sum("t").cast("double"))).alias("oversegmentation"),
-    )
+    got = projections.localization(grid(spark, sf), ["image"], F.col("score") > 300, 0.2)
+    return got.withColumns({c: r6(c) for c in got.columns})
 
 
 @query("patch_mask", f"with {GRID} select image, (y // 3)::int py, (x // 3)::int px, max(truth) truth from grid group by all")
@@ -177,11 +170,11 @@ def patch_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bilinear_upsample",
-    f"""with {GRID}, f as (select image, y, x, score from grid where y < 4),
-ax as (select m, i, case when greatest((i + 0.5) * m / (2 * m) - 0.5, 0) is not null then greatest((i + 0.5) * m / (2 * m) - 0.5, 0) end pos from (select 4 m, unnest(range(8)) i union all select 6, unnest(range(12)))),
+    f"""with {GRID}, f as (select image, y, x, score from grid),
+ax as (select m, i, case when greatest((i + 0.5) * m / (2 * m) - 0.5, 0) is not null then greatest((i + 0.5) * m / (2 * m) - 0.5, 0) end pos from (select 30 m, unnest(range(60)) i union all select 6, unnest(range(12)))),
 w as (select m, i, least(floor(pos), m - 1)::int cell, (1 - (pos - floor(pos)))::double w from ax union all select m, i, least(floor(pos) + 1, m - 1)::int, (pos - floor(pos))::double from ax)
-select image, wy.i::int oy, wx.i::int ox, round(sum(score * wy.w * wx.w), 6) score from f join w wy on wy.m = 4 and wy.cell = y join w wx on wx.m = 6 and wx.cell = x group by all""",
+select image, wy.i::int oy, wx.i::int ox, round(sum(score * wy.w * wx.w), 6) score from f join w wy on wy.m = 30 and wy.cell = y join w wx on wx.m = 6 and wx.cell = x group by all""",
 )
 def bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    g = grid(spark, sf).filter("y < 4").select("image", "y", "x", "score")
-    return regions.bilinear(g, ["image"], (4, 6), (8, 12)).withColumn("score", r6("score"))
+    g = grid(spark, sf).select("image", "y", "x", "score")
+    return regions.bilinear(g, ["image"], (30, 6), (60, 12)).withColumn("score", r6("score"))

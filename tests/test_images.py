@@ -73,9 +73,9 @@ def test_kcenter_and_waterfill():
     assert selection.kcenter(np.zeros((5, 2)), 3, 0, masked=False) == [0, 0, 0] and selection.kcenter(np.zeros((5, 2)), 3, 0) == [0, 1, 2]
     got = selection.waterfill({1: 100, 2: 10, 3: 1}, 60, 1)
     assert sum(got.values()) == 60 and got[3] == 1 and got[1] > got[2] >= 5
-    assert selection.waterfill({1: 2, 2: 3}, 100) == {1: 2, 2: 3}
+    assert selection.waterfill({1: 2, 2: 3}, 5) == {1: 2, 2: 3} and selection.waterfill({1: 5, 2: 5}, 2, 2) == {1: 1, 2: 1}
     with pytest.raises(ValueError):
-        selection.waterfill({1: 5, 2: 5}, 2, 2)
+        selection.waterfill({1: 2, 2: 3}, 100)
 
 
 def test_subspace_algebra(spark):
