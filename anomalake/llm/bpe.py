@@ -7,7 +7,7 @@ the library encodes it again between the neighbouring words of both chunks, as o
 both encodings, and the ids at the chunks' ends, agree exactly. Where they don't, the window grows to the whole text.
 
 Memory is bounded: a worker keeps the chunks used last, up to ``CHUNK_BYTES``, and the ids of two generations of words,
-from which new chunks are put together (the library alone takes twice the time), some 50 MB in all. There is no shuffle: each input partition is encoded where it is read.
+from which new chunks are put together (the library alone takes twice the time), some 100 MB at most. There is no shuffle: each input partition is encoded where it is read.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 512 bytes on average.
-CUT_BITS = 9
+#: A cut after a byte where the 8-byte rolling hash has these bits zero: chunks of 1,024 bytes on average.
+CUT_BITS = 10
 #: Bytes of chunks that a task keeps, and characters given to the library at a time.
 CHUNK_BYTES, BATCH = 8 << 20, 1 << 17
 #: Words of a generation, some 200 bytes each; two are kept, and words that are met again move on to the newer one.
-WORDS = 100_000
+WORDS = 220_000
 #: Bytes of text that are encoded, and go back to Spark, at a time.
 SLICE = 2 << 20
 #: Characters that Python counts as white space but the tokenizer's pattern doesn't.
@@ -226,18 +226,20 @@ class ChunkEncoder:
                     own.append((left, window, around, c))
                     left, window = c, c.tail
             joins.append(own)
-        ids = self._library(s for own in joins if own for left, window, around, _ in own if left for s in (window, around) if s)
-        ids[""] = b""
+        spans = [(window, around) for own in joins if own for left, window, around, _ in own if left]
+        words = self._words({w for w, _ in spans if w}, known)
+        whole = self._library(x for _, x in spans if x)
+        words[""] = whole[""] = b""
         out = []
         for text, own in zip(texts, joins, strict=True):
             found = [] if own is not None else None
             for left, window, around, c in own or ():
                 if left is not None:
                     self.repaired += 1
-                    if ids[around] != left.last_ids + ids[window] + c.first_ids or not left.ids.endswith(left.last_ids) or not c.ids.startswith(c.first_ids):
+                    if whole[around] != left.last_ids + words[window] + c.first_ids or not left.ids.endswith(left.last_ids) or not c.ids.startswith(c.first_ids):
                         found = None
                         break
-                    found.append(ids[window])
+                    found.append(words[window])
                 found.append(c.ids)
             if found is None:
                 self.whole += 1
