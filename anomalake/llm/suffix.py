@@ -188,31 +188,23 @@ def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nda
     return out
 
 
-def runs(flag: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, from, to) of the bytes that flagged strings cover, for runs of consecutive starts."""
-    at = np.flatnonzero(flag)
-    if not len(at):
-        return at, at, at
-    o, s = owner[at], start[at]
-    new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)]))
-    last = np.concatenate([new[1:] - 1, [len(at) - 1]])
-    return o[new], s[new], s[last] + length
-
-
-def _flags(pieces: list[tuple[int, bytes]], times: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """The spans of each distinct piece (group, bytes) that repeat, where it occurs ``times`` times in its group."""
+def _flags(pieces: list[tuple[int, bytes]], times: np.ndarray, length: int) -> list[tuple[int, int] | None]:
+    """The bytes (from, to) of each distinct piece (group, bytes) that repeated strings cover, where it occurs ``times`` times in its group.
+
+    They are one span: a piece's strings share an anchor, so they start within ``length`` bytes and overlap or touch.
+    """
     group = np.array([h for h, _ in pieces], np.int64)
     _, at, size = np.unique(group, return_inverse=True, return_counts=True)
-    out = [[(0, len(p))] if n > 1 else [] for (_, p), n in zip(pieces, times.tolist(), strict=True)]  # equal pieces repeat as a whole
+    out = [(0, len(p)) if n > 1 else None for (_, p), n in zip(pieces, times.tolist(), strict=True)]  # equal pieces repeat as a whole
     todo = np.flatnonzero(size[at] > 1)
     if len(todo):
         n = np.array([len(pieces[i][1]) for i in todo], np.int64)
         count = n - length + 1
         flag = repeated_starts(np.frombuffer(b"".join(pieces[i][1] for i in todo), np.uint8), np.cumsum(n) - n, count, group[todo], length)
         for i, f in zip(todo.tolist(), np.split(flag, np.cumsum(count)[:-1]), strict=True):
-            if not out[i]:
-                _, a, b = runs(f, np.zeros(len(f), np.int8), np.arange(len(f)), length)
-                out[i] = list(zip(a.tolist(), b.tolist(), strict=True))
+            starts = np.flatnonzero(f)
+            if out[i] is None and len(starts):
+                out[i] = int(starts[0]), int(starts[-1]) + length
     return out
 
 
@@ -243,19 +235,19 @@ def _sorted_groups(length: int):
         which: dict[tuple[int, bytes], int] = {}
         of = [which.setdefault((r[0], r[3]), len(which)) for r in rows]
         spans = _flags(list(which), np.bincount(of, minlength=len(which)), length)
-        out = [(row[1], row[2] + a, row[2] + b) for row, i in zip(rows, of, strict=True) for a, b in spans[i]]
+        out = [(row[1], row[2] + spans[i][0], row[2] + spans[i][1]) for row, i in zip(rows, of, strict=True) if spans[i]]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "a", "b"])
 
     return _by_group(solve)
 
 
 def _counted_groups(length: int):
-    """Takes distinct pieces (h, n, piece) sorted by h; yields those with spans that repeat, as two arrays of places."""
+    """Takes distinct pieces (h, n, piece) sorted by h; yields those with a span that repeats, and its places."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         spans = _flags([(r[0], r[2]) for r in rows], np.array([r[1] for r in rows]), length)
-        out = [(r[0], r[2], [a for a, _ in x], [b for _, b in x]) for r, x in zip(rows, spans, strict=True) if x]
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        out = [(r[0], r[2], *x) for r, x in zip(rows, spans, strict=True) if x]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["h", "piece", "a", "b"])
 
     return _by_group(solve)
@@ -306,21 +298,20 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int) -> DataFrame:
 
 def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> Iterator[DataFrame]:
     """(id, a, b) of hot anchors' pieces (h, id, first, at, piece), level by level."""
-    for width in (*WIDTHS, 0):
+    for width in (*(w for w in WIDTHS if w <= length), 0):  # wider classes' strings need not hold a byte in common
         distinct = ws.table(rows.groupBy("h", "piece").agg(F.count("*").alias("n")).select("h", "n", "piece"), "distinct")
         large = distinct.groupBy("h").agg(F.count("*").alias("d")).filter(F.col("d") > HOT).select("h")
         n_large = large.count() if width else 0  # of one string there is one piece
         few = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
         small = distinct.join(few, "h", "left_anti") if n_large else distinct
-        solved = small.repartition("h").sortWithinPartitions("h").mapInArrow(_counted_groups(length), "h long, piece binary, a array<int>, b array<int>")
+        solved = small.repartition("h").sortWithinPartitions("h").mapInArrow(_counted_groups(length), "h long, piece binary, a int, b int")
         solved = ws.table(solved, "flagged")
         if solved.count() <= BROADCAST_PIECES:
             met = rows.join(F.broadcast(solved), ["h", "piece"])
         else:  # a piece may be that of a third of all rows: its rows are dealt out, its spans copied to each part
             salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
             met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.lit(SALT)).cast("int")).join(salted, ["h", "piece", "salt"])
-        spans = met.select("id", "first", F.explode(F.arrays_zip("a", "b")).alias("x"))
-        yield spans.select("id", (F.col("first") + F.col("x.a")).alias("a"), (F.col("first") + F.col("x.b")).alias("b"))
+        yield met.select("id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
         if not n_large:
             return
         rows = rows.join(few, "h", "left_semi").select("h", "id", "first", "at", "piece").mapInArrow(_classes(width, length), "h long, id long, first int, at int, piece binary")

@@ -61,3 +61,9 @@ def test_shared_passages_runs_and_ties(spark, monkeypatch, hot, pieces):
         got = Counter((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicate(df, Workspace(spark, "t"), length).collect())
         assert got == Counter(brute(texts, length))
     assert suffix.deduplicate(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_a_piece_has_one_span():
+    a, b = b"abcdefghij" * 2 + b"XY", b"abcdefghij" * 2 + b"ZW"
+    spans = suffix._flags([(1, a), (1, b), (2, a), (3, b)], np.array([1, 1, 1, 2]), 12)
+    assert spans == [(0, 20), (0, 20), None, (0, 22)]
