@@ -35,8 +35,8 @@ GRAM, HOT, CHUNK = 48, 1000, 1 << 18
 WIDTHS = (77, 20, 1)
 #: Hot keys, and rows of their flagged pieces, up to which they are broadcast (8 and some 400 bytes each); parts that a hot key is salted into beyond.
 BROADCAST_KEYS, BROADCAST_PIECES, SALT = 200_000, 10_000, 16
-#: Rows up to which the spans found are broadcast to the documents (16 bytes each); beyond, they are joined by shuffle.
-BROADCAST_SPANS = 1_000_000
+#: Rows up to which the spans found are broadcast to the documents (some 100 bytes each, and that held several times over); beyond, they are joined by shuffle.
+BROADCAST_SPANS = 200_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int) -> DataFrame:
     # hot anchors keep out of the join by anchor: none of its keys has more than HOT rows
     rest, some = found, None
     if n_hot:
-        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot.hint("merge")
         rest, some = found.join(few, "h", "left_anti"), found.join(few, "h", "left_semi").withColumn("hot", F.lit(True))
     cold = rest.join(often.filter(F.col("n") <= HOT).select("h"), "h", "left_semi").withColumn("hot", F.lit(False))
     marks = cold if some is None else cold.unionByName(some)
@@ -302,7 +302,7 @@ def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> Iterator[DataFram
         distinct = ws.table(rows.groupBy("h", "piece").agg(F.count("*").alias("n")).select("h", "n", "piece"), "distinct")
         large = distinct.groupBy("h").agg(F.count("*").alias("d")).filter(F.col("d") > HOT).select("h")
         n_large = large.count() if width else 0  # of one string there is one piece
-        few = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+        few = F.broadcast(large) if n_large <= BROADCAST_KEYS else large.hint("merge")
         small = distinct.join(few, "h", "left_anti") if n_large else distinct
         solved = small.repartition("h").sortWithinPartitions("h").mapInArrow(_counted_groups(length), "h long, piece binary, a int, b int")
         solved = ws.table(solved, "flagged")
@@ -310,7 +310,8 @@ def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> Iterator[DataFram
             met = rows.join(F.broadcast(solved), ["h", "piece"])
         else:  # a piece may be that of a third of all rows: its rows are dealt out, its spans copied to each part
             salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.lit(SALT)).cast("int")).join(salted, ["h", "piece", "salt"])
+            # by shuffle whatever the planner makes of its size: files of like pieces are small, and a broadcast goes through the driver
+            met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.lit(SALT)).cast("int")).join(salted.hint("merge"), ["h", "piece", "salt"])
         yield met.select("id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
         if not n_large:
             return

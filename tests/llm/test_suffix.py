@@ -67,3 +67,28 @@ def test_a_piece_has_one_span():
     a, b = b"abcdefghij" * 2 + b"XY", b"abcdefghij" * 2 + b"ZW"
     spans = suffix._flags([(1, a), (1, b), (2, a), (3, b)], np.array([1, 1, 1, 2]), 12)
     assert spans == [(0, 20), (0, 20), None, (0, 22)]
+
+
+def test_hot_pieces_beyond_the_bound_are_neither_broadcast_nor_multiplied(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 4)
+    monkeypatch.setattr(suffix, "BROADCAST_PIECES", -1)
+    plans, table = {}, Workspace.table
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().simpleString()
+        return table(self, df, name)
+
+    monkeypatch.setattr(Workspace, "table", kept)
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(400)
+    texts = [word(20) + passage[: 150 + i % 7 * 30] + word(40) + passage[200 + i % 5 * 9 :] for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    spans = suffix.repeated_spans(docs, Workspace(spark, "t"), 60)
+    assert "SortMergeJoin" in plans["spans"]
+    assert "Broadcast" not in plans["spans"] and "arrays_zip" not in plans["spans"]
+    seen = Counter(t[i : i + 60] for t in texts for i in range(len(t) - 59))
+    got = spans.collect()
+    for k, t in enumerate(texts):
+        want = suffix.removed(len(t), [(i, i + 60) for i in range(len(t) - 59) if seen[t[i : i + 60]] > 1])
+        assert want and suffix.removed(len(t), [(x.a, x.b) for x in got if x.id == k]) == want
