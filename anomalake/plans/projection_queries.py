@@ -38,7 +38,7 @@ select image, round(avg(raw), 4) as Official, round(max(raw) filter (layer = 'di
   round(avg(ecdf), 5) ECDF_Equal, round(avg(mad), 5) MAD_Equal, round(sum((g + 1e-8) * ecdf) / sum(g + 1e-8), 5) as "Global", {_weighted} from z group by image""",
 )
 def method_projections(spark: SparkSession, sf: str) -> DataFrame:
-    long = layers(spark, sf)
+    long = layers(spark, sf, in_order=True)  # equal sums have to be one value to the ECDF
     z = calibration.standardize(long, calibration.scaled_mad(long, ["layer"], "raw", 1), ["layer"], "raw", "mad")
     ecdf = calibration.ecdf_surprise(long, long, ["layer"], "raw").select("image", "layer", F.col("surprise").alias("ecdf"))
     z = z.join(ecdf, ["image", "layer"])

@@ -16,10 +16,30 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return v.filter("id % 8 = 0"), v.filter("id % 8 <> 0")
 
 
-def layers(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem's four measures as layers, summed per order: (image, layer, raw)."""
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(*(F.sum(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax")))
-    return li.unpivot(["image"], ["quantity", "extendedprice", "discount", "tax"], "layer", "raw")
+MEASURES = ("quantity", "extendedprice", "discount", "tax")
+
+
+def _added(rows: str, c: str) -> Column:
+    """The sum of a field of structs from the first to the last; null where all are."""
+    known = F.filter(F.transform(rows, lambda r: r[c]), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x))
+
+
+def layers(spark: SparkSession, sf: str, in_order: bool = False) -> DataFrame:
+    """lineitem's four measures as layers, summed per order: (image, layer, raw).
+
+    Sums of doubles differ in their last bits by the order of their terms, which parts equal sums. With ``in_order``
+    an order's rows are added as they stand in the table's files, however Spark splits and shuffles them.
+    """
+    t = table(spark, sf, "lineitem")
+    if in_order:
+        place = ["row_index"] if len(t.inputFiles()) == 1 else ["file_path", "row_index"]
+        rows = t.select(F.col("l_orderkey").alias("image"), F.struct(*(F.col(f"_metadata.{c}") for c in place), *(F.col(f"l_{c}").alias(c) for c in MEASURES)).alias("_row"))
+        rows = rows.groupBy("image").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))  # as many as an order has lines
+        li = rows.select("image", *(_added("_rows", c).alias(c) for c in MEASURES))
+    else:
+        li = t.groupBy(F.col("l_orderkey").alias("image")).agg(*(F.sum(f"l_{c}").alias(c) for c in MEASURES))
+    return li.unpivot(["image"], list(MEASURES), "layer", "raw")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
