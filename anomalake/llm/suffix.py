@@ -264,7 +264,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int) -> DataFrame:
     if n_hot:
         few = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot.hint("merge")
         rest, some = found.join(few, "h", "left_anti"), found.join(few, "h", "left_semi").withColumn("hot", F.lit(True))
-    cold = rest.join(often.filter(F.col("n") <= HOT).select("h"), "h", "left_semi").withColumn("hot", F.lit(False))
+    keys = often.filter(F.col("n") <= HOT).select("h")
+    keys = F.broadcast(keys) if often.count() - n_hot <= BROADCAST_KEYS else keys.hint("merge")  # a million keys hold hundreds of MB of the driver
+    cold = rest.join(keys, "h", "left_semi").withColumn("hot", F.lit(False))
     marks = cold if some is None else cold.unionByName(some)
     by_doc = marks.groupBy("id").agg(F.collect_list(F.struct("h", "first", "last", "hot")).alias("marks"))  # as many as the document is long
     k = min(GRAM, length)

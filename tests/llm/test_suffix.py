@@ -92,3 +92,14 @@ def test_hot_pieces_beyond_the_bound_are_neither_broadcast_nor_multiplied(spark,
     for k, t in enumerate(texts):
         want = suffix.removed(len(t), [(i, i + 60) for i in range(len(t) - 59) if seen[t[i : i + 60]] > 1])
         assert want and suffix.removed(len(t), [(x.a, x.b) for x in got if x.id == k]) == want
+
+
+def test_keys_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BROADCAST_KEYS", 1)
+    plans, table = {}, Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: plans.update({name: df._jdf.queryExecution().simpleString()}) or table(self, df, name))
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    spans = suffix.repeated_spans(spark.createDataFrame([(0, text), (1, text[300:]), (2, "x" + text[:500])], "id long, text string"), Workspace(spark, "t"), 200)
+    assert any("SortMergeJoin" in line and "LeftSemi" in line for line in plans["pieces"].splitlines())
+    assert {k: suffix.removed(1000, [(x.a, x.b) for x in spans.collect() if x.id == k]) for k in range(3)} == {0: [(0, 900)], 1: [(0, 600)], 2: [(1, 501)]}
