@@ -9,15 +9,17 @@ is built by the difference-cover algorithm (the triples at two of three places a
 repeat are sorted by recursion, the remaining suffixes are merged in), and neighbours in it whose ``length``-byte
 prefixes agree, byte by byte, mark each other. Pieces that are equal as a whole mark each other before any sorting.
 
-An anchor with more occurrences than a group holds is hot. Its equal pieces are counted first, with partial counts
-before the shuffle; where more distinct ones are left than a group holds, the strings are dealt out again by more
-of what equal ones have in common: those whose anchor stands at nearly the same place share the bytes around it.
-Classes get narrower level by level, down to single strings, and every level sorts its groups in the same way.
+A document has one row for all places of a piece, so text that repeats itself does not multiply rows. An anchor with
+more occurrences than a group holds is hot. Its equal pieces are counted first, with partial counts before the shuffle;
+where more distinct ones are left than a group holds, the strings of those are dealt out again by more of what equal
+ones have in common: those whose anchor stands at nearly the same place share the bytes around it. Classes get narrower
+level by level, down to single strings, and every level sorts its groups in the same way. Only distinct pieces go through
+the levels; their documents meet them once, at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,18 +231,24 @@ def _by_group(solve):
 
 
 def _sorted_groups(length: int):
-    """Takes pieces (h, id, first, piece) sorted by h; yields the spans (id, a, b) that repeat within whole groups of one h."""
+    """Takes pieces (h, id, firsts, piece) sorted by h; yields the spans (id, a, b) that repeat within whole groups of one h."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         which: dict[tuple[int, bytes], int] = {}
         of = [which.setdefault((r[0], r[3]), len(which)) for r in rows]
-        spans = _flags(list(which), np.bincount(of, minlength=len(which)), length)
-        out = [(row[1], row[2] + spans[i][0], row[2] + spans[i][1]) for row, i in zip(rows, of, strict=True) if spans[i]]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "a", "b"])
+        times = np.bincount(of, [len(r[2]) for r in rows], len(which)).astype(np.int64)
+        spans = _flags(list(which), times, length)
+        return _spans((row[1], row[2], *spans[i]) for row, i in zip(rows, of, strict=True) if spans[i])
 
     return _by_group(solve)
 
 
+def _spans(found: Iterable[tuple[int, list[int], int, int]]) -> pa.RecordBatch:
+    """The spans (id, a, b) of (id, firsts, from, to), those of one row as maximal runs."""
+    out = [(i, *x) for i, firsts, a, b in found for x in runs([(f + a, f + b) for f in firsts])]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["id", "a", "b"])
+
+
 def _counted_groups(length: int):
     """Takes distinct pieces (h, n, piece) sorted by h; yields those with a span that repeats, and its places."""
 
@@ -278,47 +286,77 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int) -> DataFrame:
                 for i, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = t.encode("utf-8", "surrogatepass")
                     hashed = textvec.prefix_hash(np.frombuffer(raw, np.uint8)) if any(m["hot"] for m in marks) else None
+                    places: dict[tuple[int, bytes], list[int]] = {}
                     for m in marks:
+                        piece = raw[m["first"] : m["last"] + length]
+                        if (firsts := places.get((m["h"], piece))) is not None:
+                            firsts.append(m["first"])
+                            continue
+                        places[m["h"], piece] = firsts = [m["first"]]
                         at = None
-                        if m["hot"]:  # the anchor's place: the last of its k-gram in the piece's first string
+                        if m["hot"]:  # the anchor's place in the piece: the last of its k-gram in the first string
                             s = np.arange(m["last"], m["first"] + length - k + 1)
-                            at = int(s[textvec.span_hash(hashed, s, s + k).view(np.int64) == m["h"]][-1])
-                        for c, v in zip(out, (m["h"], i, m["first"], at, m["hot"], raw[m["first"] : m["last"] + length]), strict=True):
+                            at = int(s[textvec.span_hash(hashed, s, s + k).view(np.int64) == m["h"]][-1]) - m["first"]
+                        for c, v in zip(out, (m["h"], i, firsts, at, m["hot"], piece), strict=True):
                             c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "id", "first", "at", "hot", "piece"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "id", "firsts", "at", "hot", "piece"])
 
-    cut = docs.join(by_doc, "id").select("id", "text", "marks").mapInArrow(pieces, "h long, id long, first int, at int, hot boolean, piece binary")
+    cut = docs.join(by_doc, "id").select("id", "text", "marks").mapInArrow(pieces, "h long, id long, firsts array<int>, at int, hot boolean, piece binary")
     cut = ws.table(cut, "pieces")
-    dealt = cut.filter("not hot").select("h", "id", "first", "piece").repartition("h").sortWithinPartitions("h")
+    dealt = cut.filter("not hot").select("h", "id", "firsts", "piece").repartition("h").sortWithinPartitions("h")
     spans = dealt.mapInArrow(_sorted_groups(length), "id long, a int, b int")
     if n_hot:
-        for part in _hot_spans(cut.filter("hot").drop("hot"), ws, length):
-            spans = spans.unionByName(part)
+        spans = spans.unionByName(_hot_spans(cut.filter("hot").drop("hot"), ws, length))
     return ws.table(spans, "spans")
 
 
-def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> Iterator[DataFrame]:
-    """(id, a, b) of hot anchors' pieces (h, id, first, at, piece), level by level."""
+def _hot_spans(rows: DataFrame, ws: Workspace, length: int) -> DataFrame:
+    """(id, a, b) of hot anchors' pieces (h, id, firsts, at, piece)."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _spans(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    pieces = rows.groupBy("h", "piece").agg(F.sum(F.size("firsts")).alias("n"), F.min("at").alias("at"))  # equal pieces have it at one place
+    pieces = ws.table(pieces.withColumn("top", F.monotonically_increasing_id()), "distinct")  # written once, so the ids hold
+    spans = _levels(pieces.withColumn("off", F.lit(0)), ws, length).groupBy("top").agg(F.min("a").alias("a"), F.max("b").alias("b"))  # one span a piece
+    spans = ws.table(pieces.join(spans.hint("merge"), "top").select("h", "piece", "a", "b"), "flagged")
+    return _meet(rows, spans, "id").select("id", "firsts", "a", "b").mapInArrow(placed, "id long, a int, b int")
+
+
+def _meet(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """The rows whose piece is one of spans (h, piece, a, b; each piece once), with its span: at most one row a row."""
+    if spans.count() <= BROADCAST_PIECES:
+        return rows.join(F.broadcast(spans), ["h", "piece"])
+    # a piece may be that of a third of all rows: its rows are dealt out, its span copied to each part
+    salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    # by shuffle whatever the planner makes of its size: files of like pieces are small, and a broadcast goes through the driver
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")).join(salted.hint("merge"), ["h", "piece", "salt"])
+
+
+def _levels(parts: DataFrame, ws: Workspace, length: int) -> DataFrame:
+    """(top, a, b): spans of the distinct pieces that parts (h, piece, n, at, top, off) are of, level by level; all of one piece overlap or touch.
+
+    A part stands at off in its piece top, which occurs n times; its anchor stands at at there.
+    """
+    found = None
     for width in (*(w for w in WIDTHS if w <= length), 0):  # wider classes' strings need not hold a byte in common
-        distinct = ws.table(rows.groupBy("h", "piece").agg(F.count("*").alias("n")).select("h", "n", "piece"), "distinct")
+        distinct = parts.select("h", "n", "piece")
+        if found is not None:  # strings of several pieces can be equal
+            distinct = ws.table(distinct.groupBy("h", "piece").agg(F.sum("n").alias("n")).select("h", "n", "piece"), "counted")
         large = distinct.groupBy("h").agg(F.count("*").alias("d")).filter(F.col("d") > HOT).select("h")
         n_large = large.count() if width else 0  # of one string there is one piece
         few = F.broadcast(large) if n_large <= BROADCAST_KEYS else large.hint("merge")
         small = distinct.join(few, "h", "left_anti") if n_large else distinct
         solved = small.repartition("h").sortWithinPartitions("h").mapInArrow(_counted_groups(length), "h long, piece binary, a int, b int")
-        solved = ws.table(solved, "flagged")
-        if solved.count() <= BROADCAST_PIECES:
-            met = rows.join(F.broadcast(solved), ["h", "piece"])
-        else:  # a piece may be that of a third of all rows: its rows are dealt out, its spans copied to each part
-            salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            # by shuffle whatever the planner makes of its size: files of like pieces are small, and a broadcast goes through the driver
-            met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "first"), F.lit(SALT)).cast("int")).join(salted.hint("merge"), ["h", "piece", "salt"])
-        yield met.select("id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+        met = _meet(parts, ws.table(solved, "solved"), "top").select("top", (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
+        found = met if found is None else found.unionByName(met)
         if not n_large:
-            return
-        rows = rows.join(few, "h", "left_semi").select("h", "id", "first", "at", "piece").mapInArrow(_classes(width, length), "h long, id long, first int, at int, piece binary")
-        rows = ws.table(rows, "classes")
+            break
+        parts = parts.join(few, "h", "left_semi").select("h", "n", "top", "off", "at", "piece").mapInArrow(_classes(width, length), "h long, n long, top long, off int, at int, piece binary")
+        parts = ws.table(parts, "classes")
+    return found
 
 
 def _classes(width: int, length: int):
@@ -326,23 +364,23 @@ def _classes(width: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for h, i, first, at, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for h, n, top, first, at, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashed = textvec.prefix_hash(np.frombuffer(piece, np.uint8))
                 last = first + len(piece) - length
                 for r in range((at - last) // width, (at - first) // width + 1):
                     x, y = max(first, at - r * width - width + 1), min(last, at - r * width)  # the class's strings in this piece
                     common = np.array([at - r * width - first]), np.array([at - r * width - width + 1 + length - first])
                     key = textvec.mix(textvec.span_hash(hashed, *common) + _U(h % (1 << 64)) * _U(31) + _U(r * 1000 + width))
-                    for c, v in zip(out, (int(key.view(np.int64)[0]), i, x, at, piece[x - first : y - first + length]), strict=True):
+                    for c, v in zip(out, (int(key.view(np.int64)[0]), n, top, x, at, piece[x - first : y - first + length]), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "id", "first", "at", "piece"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "n", "top", "off", "at", "piece"])
 
     return run
 
 
-def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans merged into maximal runs."""
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -350,7 +388,12 @@ def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, min(b, n)) for a, b in out]
+    return [(a, b) for a, b in out]
+
+
+def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs of spans in n bytes."""
+    return [(a, min(b, n)) for a, b in runs(spans)]
 
 
 def deduplicate(docs: DataFrame, ws: Workspace, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -103,3 +103,31 @@ def test_keys_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     spans = suffix.repeated_spans(spark.createDataFrame([(0, text), (1, text[300:]), (2, "x" + text[:500])], "id long, text string"), Workspace(spark, "t"), 200)
     assert any("SortMergeJoin" in line and "LeftSemi" in line for line in plans["pieces"].splitlines())
     assert {k: suffix.removed(1000, [(x.a, x.b) for x in spans.collect() if x.id == k]) for k in range(3)} == {0: [(0, 900)], 1: [(0, 600)], 2: [(1, 501)]}
+
+
+def test_repeats_inside_documents_and_copies_do_not_multiply_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 3)
+    tables, table = {}, Workspace.table
+
+    def kept(self, df, name):
+        tables.setdefault(name, []).append(table(self, df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(Workspace, "table", kept)
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = word(50)
+    texts = [word(30) + line * 20 + word(30) for _ in range(12)] + [word(25) + line + word(25) for _ in range(12)]
+    made = []
+    for copies in (4, 8):  # of every text, so that all anchors are hot
+        tables.clear()
+        docs = spark.createDataFrame(list(enumerate(texts * copies)), "id long, text string")
+        got = suffix.repeated_spans(docs, Workspace(spark, "t"), 60).collect()
+        pieces = tables["pieces"][0]
+        assert pieces.count() == pieces.select("id", "h", "piece").distinct().count()
+        for k, t in enumerate(texts * copies):  # whole copies
+            assert suffix.removed(len(t), [(x.a, x.b) for x in got if x.id == k]) == [(0, len(t))]
+        made.append(([x.count() for x in tables["classes"]], pieces.count(), len(got)))
+    (classes, rows, spans), (more_classes, more_rows, more_spans) = made
+    assert min(classes) > 0 and more_classes == classes  # copies add none to the levels
+    assert (more_rows, more_spans) == (2 * rows, 2 * spans)  # and as many as they are to the rest
